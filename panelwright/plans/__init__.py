@@ -1,0 +1,6 @@
+"""Registered queries. Importing the modules fills the registries."""
+
+from panelwright.plans import rows  # noqa: F401
+from panelwright.plans.common import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

@@ -175,7 +175,7 @@ def prj_scale(pn):
 
 
 @query("prj_casewhen", """
-SELECT n_nationkey, CASE WHEN n_name = 'NATION_1' THEN 'Taiwan' WHEN n_name LIKE '%_1%' THEN 'Teens'
+SELECT n_nationkey, CASE WHEN n_name = 'NATION_1' THEN 'Taiwan' WHEN contains(n_name, '_1') THEN 'Teens'
  WHEN n_name = 'NATION_10' THEN 'never' ELSE n_name END AS by_rule,
  coalesce(a.name, n_name) AS by_table FROM dim LEFT JOIN
  (VALUES ('NATION_2','Two'),('NATION_3','Three')) a(alias, name) ON n_name = alias""", uses="dim",
