@@ -28,7 +28,7 @@ from panelwright.session import materialize
 MIN_WORDS = 10
 REPEAT_WINDOW, REPEAT_PERCENT = 5, 20
 SYMBOLS = "#*$%&|<>"
-BAND_WIDTH = 7.0  # robust standard deviations each side of the median
+BAND_WIDTH = 6.0  # robust standard deviations each side of the median
 BAND_MIN_TOKENS = 64  # shorter texts measure too loosely to be banded
 FALLBACK_LIMIT = 0.5  # byte-fallback share no readable text of any covered script reaches
 STEPS = 400  # histogram bins per unit of a measure
