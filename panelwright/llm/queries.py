@@ -1,6 +1,6 @@
 """The registered queries of the corpus operators."""
 
-from panelwright.llm import neardup, passages, quality  # noqa: F401
+from panelwright.llm import neardup, packing, passages, pii, quality  # noqa: F401
 from panelwright.llm.common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
