@@ -1,6 +1,6 @@
 """The registered queries of the corpus operators."""
 
-from panelwright.llm import ann, neardup, packing, passages, pii, quality, warc  # noqa: F401
+from panelwright.llm import ann, neardup, packing, passages, pii, quality, sentpiece, urls, warc  # noqa: F401
 from panelwright.llm.common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
