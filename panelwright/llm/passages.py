@@ -29,9 +29,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm.common import query, table
+from panelwright.llm.common import free_name, query, table
 from panelwright.llm.neardup import packed
-from panelwright.llm.words import Words, blocks, grams, inside_rows, list_array
+from panelwright.llm.words import Words, blocks, grams, inside_rows, list_array, mix
 from panelwright.session import materialize
 
 WINDOW, ANCHOR = 20, 6
@@ -127,8 +127,20 @@ def _groups(batch: pa.RecordBatch, z: int):
             first, held, size = i + 1, [], 0
 
 
+def _tag(full: str) -> int:
+    """Tells rows of one id apart: 31 bits of the text's digest."""
+    return int(full[:8], 16) >> 1
+
+
+PIECE = "piece bigint, ord bigint, place bigint, keys array<bigint>"
+
+
 def candidates(texts: DataFrame) -> DataFrame:
-    """``(key, ord, full, start)``: windows of ``(ord, z, shared)`` whose anchor is shared, once per document."""
+    """Pieces of ``(ord, z, shared)``: runs of windows with one shared anchor, each run once per document.
+
+    ``place`` holds the tag of the text and the first window; ``keys`` the window hashes. First and last
+    window of a run overlap, so their hashes and the length stand for all its words.
+    """
     def run(batches):
         for batch in batches:
             for part, opened in _groups(batch, 1):
@@ -139,13 +151,27 @@ def candidates(texts: DataFrame) -> DataFrame:
                 salt = _U(0x9E3779B97F4A7C15)
                 known = shared.flatten().to_numpy(zero_copy_only=False).view(_U) + np.repeat(np.arange(len(lens)), lens).astype(_U) * salt
                 pick = np.flatnonzero(np.isin(anchor + row.astype(_U) * salt, known))
-                pick = pick[~_later(key[pick], row[pick])]
-                full = pa.array([_digest(t.split()) for t in opened])
+                new = np.ones(len(pick), bool)
+                new[1:] = (np.diff(pick) > 1) | (anchor[pick[1:]] != anchor[pick[:-1]]) | (row[pick[1:]] != row[pick[:-1]])
+                first = np.flatnonzero(new)
+                size = np.diff(np.append(first, len(pick)))
+                # an anchor that repeats inside a run can stretch it: cut runs so that the ends still overlap
+                long = size > WINDOW
+                if long.any():
+                    first = np.sort(np.concatenate([first, *[np.arange(f + WINDOW, f + n, WINDOW) for f, n in zip(first[long], size[long])]]))
+                    size = np.diff(np.append(first, len(pick)))
+                head, tail = pick[first], pick[first + size - 1]
+                piece = mix(key[head] + mix(key[tail] + size.astype(_U)))
+                once = ~_later(piece, row[head])
+                mine = np.repeat(once, size)
+                tag = np.array([_tag(_digest(t.split())) for t in opened], np.int64)
+                at = row[head[once]]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(key[pick].view(np.int64)), part.column(0).take(pa.array(row[pick])), full.take(pa.array(row[pick])),
-                    pa.array(start[pick] - w.bounds[row[pick]], pa.int32())], ["key", "ord", "full", "start"])
+                    pa.array(piece[once].view(np.int64)), part.column(0).take(pa.array(at)),
+                    pa.array((tag[at] << 32) + start[head[once]] - w.bounds[at]),
+                    list_array(key[pick[mine]].view(np.int64), size[once], pa.int64())], ["piece", "ord", "place", "keys"])
 
-    return texts.mapInArrow(run, "key bigint, ord bigint, full string, start int")
+    return texts.mapInArrow(run, PIECE)
 
 
 def _located(code: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -166,24 +192,12 @@ def _located(code: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def removals(texts: DataFrame) -> DataFrame:
-    """``(ord, full, n_removed, kept_sha256)`` of ``(ord, z, full, starts)``; rows whose text is not ``full`` go."""
+    """``(ord, full, n_removed, kept_sha256)`` of ``(ord, z, runs)``; texts without a run of their own are left out."""
     def run(batches):
         for batch in batches:
             out = []
             for part, opened in _groups(batch, 1):
-                w = _block(opened)
-                start, row, key, _ = windows(w)
-                own = start[_later(key, row)]
-                h = w.hashes()
-                for i, text in enumerate(opened):
-                    words = text.split()
-                    full = part.column(2)[i].as_py()
-                    if _digest(words) != full:
-                        continue  # another row of the same id
-                    a, b = w.bounds[i], w.bounds[i + 1]
-                    _, code = np.unique(h[a:b], return_inverse=True)
-                    found = _located(code, part.column(3)[i].values.to_numpy())
-                    gone = cover(np.concatenate([found, own[(own >= a) & (own < b)] - a]), b - a)
+                for i, words, gone, full in _gone(part.column(2), opened):
                     out.append((part.column(0)[i].as_py(), full, int(gone.sum()), _digest([x for x, g in zip(words, gone) if not g])))
             cols = list(zip(*out)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64()),
@@ -192,9 +206,37 @@ def removals(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "ord bigint, full string, n_removed bigint, kept_sha256 string")
 
 
+def _gone(runs: pa.Array, opened: list[bytes], every: bool = False):
+    """``(i, words, removed flags, digest)`` of the texts that have confirmed runs ``(place, size)``, or of every text."""
+    w = _block(opened)
+    start, row, key, _ = windows(w)
+    own = start[_later(key, row)]
+    h = w.hashes()
+    for i, text in enumerate(opened):
+        words = text.split()
+        full = _digest(words)
+        mine = runs[i].values
+        place, size = (mine.field(0).to_numpy(), mine.field(1).to_numpy()) if mine is not None else (np.zeros(0, np.int64),) * 2
+        tagged = place >> 32 == _tag(full)
+        a, b = w.bounds[i], w.bounds[i + 1]
+        if tagged.any():
+            place, size = place[tagged] & 0xFFFFFFFF, size[tagged]
+            starts = np.unique(np.repeat(place, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size))
+            found = _located(np.unique(h[a:b], return_inverse=True)[1], starts)
+        elif every:
+            found = np.zeros(0, np.int64)
+        else:
+            continue
+        yield i, words, cover(np.concatenate([found, own[(own >= a) & (own < b)] - a]), b - a), full
+
+
 def located(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """For ``(doc_id, text)``: base rows marked ``copy``, compressed texts ``(ord, z)`` of documents that
-    share an anchor, and ``(ord, full, starts)``: first places of windows that an earlier document has."""
+    share an anchor, and ``(ord, runs)``: runs of windows that an earlier document has.
+
+    A piece that an earlier document has as a whole is settled by that; only pieces that their document has
+    first are looked at window by window.
+    """
     numbered = docs.select(F.coalesce(F.col(docs.columns[0]).cast("bigint"), F.lit(LAST)).alias("ord"), F.col(docs.columns[1]).alias("text"))
     rows = materialize(base(numbered), "passages")
     equal = rows.groupBy("full").agg(F.min("ord").alias("head"), F.count("*").alias("m")).where("m > 1").select("full", "head")
@@ -207,16 +249,21 @@ def located(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     mine = flat.join(shared, "anchor").groupBy("ord").agg(F.collect_set("anchor").alias("shared")).join(live, "ord", "left_semi")
     mine = materialize(mine, "shared")
     texts = materialize(packed(numbered).toDF("ord", "z").join(mine.select("ord"), "ord", "left_semi"), "texts")
-    found = materialize(candidates(texts.join(mine, "ord").select("ord", "z", "shared")), "windows")
-    heads = found.groupBy("key").agg(F.min("ord").alias("head"), F.max("ord").alias("tail")).where("head < tail").select("key", "head")
-    starts = found.join(heads, "key").where("ord > head").groupBy("ord", "full").agg(F.collect_list("start").alias("starts"))
-    return marked, texts, starts
+    found = materialize(candidates(texts.join(mine, "ord").select("ord", "z", "shared")), "pieces")
+    first = found.groupBy("piece").agg(F.min("ord").alias("head"))
+    known = found.join(first, "piece")
+    whole = known.where("ord > head").select("ord", "place", F.size("keys").cast("bigint").alias("size"))
+    single = known.where("ord = head").select("ord", "place", F.posexplode("keys").alias("i", "key"))
+    heads = single.groupBy("key").agg(F.min("ord").alias("head"), F.max("ord").alias("tail")).where("head < tail").select("key", "head")
+    parts = single.join(heads, "key").where("ord > head").select("ord", (F.col("place") + F.col("i")).alias("place"), F.lit(1).cast("bigint").alias("size"))
+    runs = whole.unionByName(parts).groupBy("ord").agg(F.collect_list(F.struct("place", "size")).alias("runs"))
+    return marked, texts, runs
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """``(doc_id, n_words, n_removed, kept_sha256)`` of every row of ``(doc_id, text)``."""
-    marked, texts, starts = located(docs)
-    changed = removals(texts.join(starts, "ord").select("ord", "z", "full", "starts")).distinct().toDF("o", "f", "removed", "sha")
+    marked, texts, runs = located(docs)
+    changed = removals(texts.join(runs, "ord").select("ord", "z", "runs")).distinct().toDF("o", "f", "removed", "sha")
     copy = F.col("copy")
     return marked.join(changed, (F.col("ord") == F.col("o")) & (F.col("full") == F.col("f")), "left").select(
         F.nullif("ord", F.lit(LAST)).alias("doc_id"), "n_words",
@@ -224,6 +271,40 @@ def dedup(docs: DataFrame) -> DataFrame:
         F.when(copy, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("sha", "kept_sha256")).alias("kept_sha256"))
 
 
+def strip(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with repeated passages taken out of ``text``; a text that loses nothing stays as it is.
+
+    The words left of a changed text are joined by single blanks.
+    """
+    marked, _, runs = located(docs.select(key, text))
+    copies = marked.where("copy").groupBy("ord").agg(F.collect_set("full").alias("copies"))
+    extra = free_name(docs, "ord"), free_name(docs, "runs"), free_name(docs, "copies")
+    named = docs.withColumn(extra[0], F.coalesce(F.col(f"`{key}`").cast("bigint"), F.lit(LAST)))
+    joined = named.join(runs.toDF("__o", extra[1]), named[extra[0]] == F.col("__o"), "left").drop("__o")
+    joined = joined.join(copies.toDF("__o", extra[2]), joined[extra[0]] == F.col("__o"), "left").drop("__o")
+    columns = docs.columns
+    at = columns.index(text)
+
+    def run(batches):
+        for batch in batches:
+            column, runs_, copies_ = batch.column(at), batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
+            for first, end, raw, bounds in blocks(column):
+                data, part = raw.tobytes(), column.slice(first, end - first)
+                opened = [data[i:j] for i, j in zip(bounds[:-1], bounds[1:])]
+                out = part.to_pylist()
+                for i, words, gone, full in _gone(runs_.slice(first, end - first), opened, every=True):
+                    known = copies_[first + i].as_py()
+                    if known and full in known:
+                        out[i] = ""
+                    elif gone.any():
+                        out[i] = b" ".join(x for x, g in zip(words, gone) if not g).decode()
+                piece = [c.slice(first, end - first) for c in batch.columns[:len(columns)]]
+                piece[at] = pa.array(out, column.type)
+                yield pa.RecordBatch.from_arrays(piece, columns)
+
+    return joined.select(*[f"`{c}`" for c in columns], extra[1], extra[2]).mapInArrow(run, docs.schema)
+
+
 @query("op5_repeated_passages")
 def op5_repeated_passages(spark, sf_dir):
     return dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
