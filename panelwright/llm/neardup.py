@@ -3,12 +3,19 @@
 Two small families of collections, ``A`` and ``B``, of a few minhashes each make ``|A| x |B|`` table keys,
 so a table costs about the square root of the minhashes that separate tables would. A pair at the
 threshold misses every table with probability ``2 (1 - s^r)^k`` for collections of ``r`` in families of
-``k`` (1e-5 at the defaults), and every candidate is confirmed on the full shingle sets.
+``k`` (4e-6 at the defaults), and every candidate is confirmed on the full shingle sets.
+
+Four bits of every minhash stay with the document. A pair at the threshold shares about 49 of the 64
+nibbles and fewer than 32 with a probability below 1e-6, so pairs that share fewer (texts that have a
+common passage, for example) are left out before their sets are read.
 
 Copies with equal sets form one class; only its smallest id goes on. In each table bucket a document is first
 checked against one pivot; then, for buckets that still hold more than one component, members outside
-the bucket's largest component are checked with every member of another component. So a bucket of m
-copies costs about m checks, and no pair of the bucket that could still join two components is left out.
+the bucket's largest component are checked with every member of another component. Before that, the
+shingles that no second document of these buckets has are counted: with m the smaller number of shared
+shingles of the two, a pair can only reach the threshold if 100 m >= 75 (|a| + |b| - m). An edited copy too
+far from its original has too many shingles of its own for any partner. So a bucket of m copies costs
+about m checks, and no pair of the bucket that could still join two components is left out.
 
 Defined results: a null or wordless text has an empty set and is linked with nothing; rows with a null
 id are kept and have no component; rows that share an id are judged each by its own text; an empty
@@ -20,7 +27,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelwright.llm.common import query, table
@@ -30,7 +37,8 @@ from panelwright.session import materialize
 
 SHINGLE = 5
 PERCENT = 75  # a link needs 100 * intersection >= PERCENT * union
-FAMILY, ROWS = 14, 2  # collections in each family, minhashes in each collection
+FAMILY, ROWS = 16, 2  # collections in each family, minhashes in each collection
+AGREE = 32  # of the 64 minhashes, how many nibbles a pair shares before its sets are read
 
 _U = np.uint64
 _SEEDS = mix(np.arange(1, 2 * FAMILY * ROWS + 1, dtype=_U) * _U(0xA0761D6478BD642F)) | _U(1)
@@ -57,19 +65,33 @@ def shingles(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values[new], np.bincount(owner[new], minlength=rows)
 
 
-def _collections(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Keys of all collections of the rows that have shingles: one line per row."""
+def _collections(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all collections, and nibbles of all minhashes, of the rows that have shingles: one line per row."""
     some = counts > 0
     first = (np.cumsum(counts) - counts)[some]
     low = np.stack([np.minimum.reduceat(values * seed, first) for seed in _SEEDS], 1)
+    nibbles = (mix(low) >> _U(60)).reshape(len(first), -1, 16) << (_U(4) * np.arange(16, dtype=_U))
     low = low.reshape(len(first), 2 * FAMILY, ROWS)
     key = np.zeros(low.shape[:2], _U)
     for i in range(ROWS):
         key = mix(key + low[:, :, i])
-    return mix(key + np.arange(1, 2 * FAMILY + 1, dtype=_U) * _U(0x9E3779B97F4A7C15))
+    return mix(key + np.arange(1, 2 * FAMILY + 1, dtype=_U) * _U(0x9E3779B97F4A7C15)), np.bitwise_or.reduce(nibbles, 2)
+
 
+SIGNS = [f"s{i}" for i in range(2 * FAMILY * ROWS // 16)]
+SKETCH = "doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, a array<bigint>, b array<bigint>, " + ", ".join(
+    f"{c} bigint" for c in SIGNS)
 
-SKETCH = "doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, a array<bigint>, b array<bigint>"
+
+def alike(x: str, y: str) -> Column:
+    """True for columns ``x0…`` and ``y0…`` that share at least ``AGREE`` nibbles."""
+    differ = F.lit(0)
+    for i in range(len(SIGNS)):
+        bits = F.col(f"{x}{i}").bitwiseXOR(F.col(f"{y}{i}"))
+        bits = bits.bitwiseOR(F.shiftrightunsigned(bits, 1))
+        bits = bits.bitwiseOR(F.shiftrightunsigned(bits, 2))
+        differ = differ + F.bit_count(bits.bitwiseAND(F.lit(0x1111111111111111)))
+    return differ <= 16 * len(SIGNS) - AGREE
 
 
 def sketches(docs: DataFrame) -> DataFrame:
@@ -81,18 +103,19 @@ def sketches(docs: DataFrame) -> DataFrame:
                 some, n = counts > 0, end - first
                 k1, k2 = np.zeros(n, _U), np.zeros(n, _U)
                 a = b = np.zeros((0, FAMILY), _U)
+                signs = np.zeros((n, len(SIGNS)), _U)
                 if some.any():
                     starts = (np.cumsum(counts) - counts)[some]
                     k1[some] = np.add.reduceat(mix(values), starts)
                     k2[some] = np.add.reduceat(mix(values ^ _U(0x5851F42D4C957F2D)), starts)
-                    keys = _collections(values, counts)
+                    keys, signs[some] = _collections(values, counts)
                     a, b = keys[:, :FAMILY], keys[:, FAMILY:]
                 per = np.where(some, FAMILY, 0)
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(first, n), pa.array(counts, pa.int64()), pa.array(k1.view(np.int64)),
                     pa.array(k2.view(np.int64)), list_array(a.ravel().view(np.int64), per, pa.int64()),
-                    list_array(b.ravel().view(np.int64), per, pa.int64()),
-                ], ["doc_id", "n_shingles", "k1", "k2", "a", "b"])
+                    list_array(b.ravel().view(np.int64), per, pa.int64()), *[pa.array(c.view(np.int64)) for c in np.ascontiguousarray(signs.T)],
+                ], ["doc_id", "n_shingles", "k1", "k2", "a", "b", *SIGNS])
 
     return docs.mapInArrow(run, SKETCH)
 
@@ -133,6 +156,22 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(tb, "b").join(ta, "a").select("a", "b", "za", "zb").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def shared_sizes(texts: DataFrame) -> DataFrame:
+    """``(doc_id, common)``: how many shingles of each text another text of the table has too."""
+    def run(batches):
+        opener = zstandard.ZstdDecompressor()
+        for batch in batches:
+            for first in range(0, batch.num_rows, 256):
+                part = batch.slice(first, 256)
+                values, counts = shingles_of([opener.decompress(z.as_py()) for z in part.column(1)])
+                owner = np.repeat(np.arange(len(counts)), counts)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner)), pa.array(values.view(np.int64))], ["doc_id", "s"])
+
+    flat = materialize(texts.mapInArrow(run, "doc_id bigint, s bigint"), "shingles")
+    common = flat.groupBy("s").agg(F.count("*").alias("m")).where("m > 1").select("s")
+    return flat.join(common, "s").groupBy("doc_id").agg(F.count("*").alias("common"))
+
+
 def shingles_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     at = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
     return shingles(np.frombuffer(b"".join(texts), np.uint8), at)
@@ -166,7 +205,7 @@ def classes(docs: DataFrame) -> DataFrame:
     equal = sets.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("m")).where("m > 1").select(
         "k1", "k2", "n_shingles", "rep")
     ranked = sketch.join(equal, ["k1", "k2", "n_shingles"], "left").withColumn("rep", F.coalesce("rep", "doc_id"))
-    reps = ranked.where("n_shingles > 0 AND doc_id = rep").select("doc_id", "n_shingles", "a", "b")
+    reps = ranked.where("n_shingles > 0 AND doc_id = rep").select("doc_id", "n_shingles", "a", "b", *SIGNS)
     buckets = _buckets(reps)
     ids = buckets.select("doc_id").distinct()
     texts = materialize(packed(docs).join(ids, "doc_id", "left_semi"), "texts")
@@ -174,18 +213,47 @@ def classes(docs: DataFrame) -> DataFrame:
     # first: each document with the pivot it shares most buckets with
     best = buckets.where("doc_id <> pivot").groupBy("doc_id", "pivot", "n").agg(F.count("*").alias("m")).groupBy("doc_id").agg(
         F.max("m").alias("m"), F.max_by("pivot", F.struct(F.col("m"), -F.col("pivot"))).alias("pivot"))
-    first = materialize(confirmed(best.select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")), texts), "links")
+    signs = materialize(reps.select("doc_id", *SIGNS).join(ids, "doc_id", "left_semi"), "signs")
+
+    def signed(side: str) -> DataFrame:
+        return signs.toDF(side, *[f"{side}{i}" for i in range(len(SIGNS))])
+
+    near = best.select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).join(signed("a"), "a").join(signed("b"), "b").where(alike("a", "b"))
+    first = materialize(confirmed(near.select("a", "b"), texts), "links")
+    labels = components(first)
+
+    def mixed(labels: DataFrame, rows: DataFrame) -> DataFrame:
+        """Rows of buckets that hold several components, with their root and the bucket's largest one."""
+        placed = rows.join(labels, rows["doc_id"] == labels["node"], "left").select(rows["*"], F.coalesce("root", "doc_id").alias("root"))
+        parts = placed.groupBy("key", "root").agg(F.count("*").alias("m"))
+        several = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("root", F.struct("m", "root")).alias("main")).where("parts > 1")
+        return placed.join(several.select("key", "main"), "key")
+
+    def side(rows: DataFrame, x: str) -> DataFrame:
+        named = [F.col(c).alias(f"{x}{i}") for i, c in enumerate(SIGNS)]
+        return rows.select("key", F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("root").alias(f"r{x}"),
+                           F.col("common").alias(f"c{x}"), *named)
+
+    most = F.least("ca", "cb")
+    fits = (most * 100 >= (F.col("na") + F.col("nb") - most) * PERCENT) & (F.col("ra") != F.col("rb")) & alike("a", "b")
+
+    # then: with the bucket's member that shares most of its shingles, the likeliest original
+    unsettled = materialize(mixed(labels, buckets.select("key", "doc_id", "n")), "unsettled")
+    common = materialize(shared_sizes(texts.join(unsettled.select("doc_id").distinct(), "doc_id", "left_semi")), "common")
+    able = unsettled.join(common, "doc_id").where(F.col("common") * 100 >= F.col("n") * PERCENT)
+    able = materialize(able.join(signs, "doc_id"), "able")
+    middle = able.groupBy("key").agg(F.max_by("doc_id", F.struct(F.col("common") / F.col("n"), -F.col("doc_id"))).alias("b"))
+    tried = able.join(middle, "key").groupBy(F.col("doc_id").alias("a"), "b").agg(F.count("*").alias("m")).groupBy("a").agg(
+        F.max_by("b", F.struct("m", "b")).alias("b"))
+    one = able.dropDuplicates(["doc_id"])  # every column but key and main belongs to the document
+    again = tried.join(side(one, "a").drop("key"), "a").join(side(one, "b").drop("key"), "b").where(fits).select("a", "b")
+    first = materialize(first.unionByName(confirmed(again, texts)), "links")
     labels = components(first)
 
-    # then: whatever could still join two components
-    placed = buckets.join(labels, buckets["doc_id"] == labels["node"], "left").select(
-        "key", "doc_id", "n", F.coalesce("root", "doc_id").alias("root"))
-    parts = placed.groupBy("key", "root").agg(F.count("*").alias("m"))
-    mixed = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("root", F.struct("m", "root")).alias("main")).where("parts > 1")
-    open_rows = materialize(placed.join(mixed.select("key", "main"), "key"), "open")
-    odd = open_rows.where("root <> main").select("key", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    other = open_rows.select("key", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), "main")
-    fits = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT) & (F.col("ra") != F.col("rb"))
+    # last: whatever could still join two components
+    open_rows = materialize(mixed(labels, able.drop("root", "main")), "open")
+    odd = side(open_rows.where("root <> main"), "a")
+    other = side(open_rows, "b").join(open_rows.select("key", "main").distinct(), "key")
     once = (F.col("rb") == F.col("main")) | (F.col("a") < F.col("b"))
     rest = odd.join(other, "key").where(fits & once).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     second = confirmed(rest, texts)
@@ -206,9 +274,12 @@ def mark(docs: DataFrame) -> DataFrame:
 
 def drop_near_copies(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows of ``docs`` whose document stays; of wholly equal rows one stays."""
-    gone = mark(docs.select(key, text)).groupBy("doc_id").agg(F.max("kept").alias("kept")).where("NOT kept").select(
-        F.col("doc_id").alias("__gone"))
-    return docs.dropDuplicates().join(gone, F.col(key) == F.col("__gone"), "left_anti")
+    marked = materialize(mark(docs.select(key, text)), "marked")
+    gone = marked.where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
+    left = docs.join(gone, docs[f"`{key}`"] == F.col("__gone"), "left_anti")
+    if marked.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        left = left.dropDuplicates()
+    return left
 
 
 @query("op2_minhash_tensored")
