@@ -10,12 +10,10 @@ nibbles and fewer than 32 with a probability below 1e-6, so pairs that share few
 common passage, for example) are left out before their sets are read.
 
 Copies with equal sets form one class; only its smallest id goes on. In each table bucket a document is first
-checked against one pivot; then, for buckets that still hold more than one component, members outside
-the bucket's largest component are checked with every member of another component. Before that, the
-shingles that no second document of these buckets has are counted: with m the smaller number of shared
-shingles of the two, a pair can only reach the threshold if 100 m >= 75 (|a| + |b| - m). An edited copy too
-far from its original has too many shingles of its own for any partner. So a bucket of m copies costs
-about m checks, and no pair of the bucket that could still join two components is left out.
+checked against one pivot. Buckets that still hold more than one component try the member that shares most
+of its shingles. Then the members outside their bucket's largest component meet the rest by prefix: a pair at the
+threshold shares one of its rarest shingles. So a bucket of m copies costs about m checks, and no pair of a
+bucket that could still join two components is left out.
 
 Defined results: a null or wordless text has an empty set and is linked with nothing; rows with a null
 id are kept and have no component; rows that share an id are judged each by its own text; an empty
@@ -28,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelwright.llm.common import query, table
@@ -156,8 +155,8 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(tb, "b").join(ta, "a").select("a", "b", "za", "zb").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def shared_sizes(texts: DataFrame) -> DataFrame:
-    """``(doc_id, common)``: how many shingles of each text another text of the table has too."""
+def flat_shingles(texts: DataFrame) -> DataFrame:
+    """``(doc_id, s)``: one row per document and shingle."""
     def run(batches):
         opener = zstandard.ZstdDecompressor()
         for batch in batches:
@@ -167,11 +166,34 @@ def shared_sizes(texts: DataFrame) -> DataFrame:
                 owner = np.repeat(np.arange(len(counts)), counts)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner)), pa.array(values.view(np.int64))], ["doc_id", "s"])
 
-    flat = materialize(texts.mapInArrow(run, "doc_id bigint, s bigint"), "shingles")
+    return materialize(texts.mapInArrow(run, "doc_id bigint, s bigint").distinct(), "shingles")
+
+
+def shared_sizes(flat: DataFrame) -> DataFrame:
+    """``(doc_id, common)``: how many shingles of each document another document has too."""
     common = flat.groupBy("s").agg(F.count("*").alias("m")).where("m > 1").select("s")
     return flat.join(common, "s").groupBy("doc_id").agg(F.count("*").alias("common"))
 
 
+def prefix_pairs(rows: DataFrame, flat: DataFrame) -> DataFrame:
+    """``(a, b)`` that can reach the threshold, an ``odd`` row with a row of another root, of ``(doc_id, n, root, odd)``.
+
+    With shingles from the rarest on, a pair at the threshold has its first common one early on both sides: there
+    must be room for the rest of the overlap behind it. An edited copy's rarest shingles are its edits, so it meets
+    copies that share an edit, not the whole group.
+    """
+    mine = flat.join(rows, "doc_id")
+    ranks = mine.join(mine.groupBy("s").agg(F.count("*").alias("m")), "s").select(
+        "doc_id", "n", "root", "odd", "s", "m", F.row_number().over(W.partitionBy("doc_id").orderBy("m", "s")).alias("i"))
+    early = materialize(ranks.where((F.col("m") > 1) & ((F.col("i") - 1) * 100 <= F.col("n") * (100 - PERCENT))), "prefixes")
+    left = early.where("odd").select("s", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("i").alias("ia"))
+    right = early.select("s", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("i").alias("ib"))
+    need = F.ceil(F.lit(PERCENT) * (F.col("na") + F.col("nb")) / F.lit(100.0 + PERCENT))
+    room = (F.col("na") - F.col("ia") + 1 >= need) & (F.col("nb") - F.col("ib") + 1 >= need)
+    return left.join(right, "s").where(room & (F.col("ra") != F.col("rb"))).select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def shingles_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     at = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
     return shingles(np.frombuffer(b"".join(texts), np.uint8), at)
@@ -239,7 +261,8 @@ def classes(docs: DataFrame) -> DataFrame:
 
     # then: with the bucket's member that shares most of its shingles, the likeliest original
     unsettled = materialize(mixed(labels, buckets.select("key", "doc_id", "n")), "unsettled")
-    common = materialize(shared_sizes(texts.join(unsettled.select("doc_id").distinct(), "doc_id", "left_semi")), "common")
+    flat = flat_shingles(texts.join(unsettled.select("doc_id").distinct(), "doc_id", "left_semi"))
+    common = materialize(shared_sizes(flat), "common")
     able = unsettled.join(common, "doc_id").where(F.col("common") * 100 >= F.col("n") * PERCENT)
     able = materialize(able.join(signs, "doc_id"), "able")
     middle = able.groupBy("key").agg(F.max_by("doc_id", F.struct(F.col("common") / F.col("n"), -F.col("doc_id"))).alias("b"))
@@ -252,10 +275,8 @@ def classes(docs: DataFrame) -> DataFrame:
 
     # last: whatever could still join two components
     open_rows = materialize(mixed(labels, able.drop("root", "main")), "open")
-    odd = side(open_rows.where("root <> main"), "a")
-    other = side(open_rows, "b").join(open_rows.select("key", "main").distinct(), "key")
-    once = (F.col("rb") == F.col("main")) | (F.col("a") < F.col("b"))
-    rest = odd.join(other, "key").where(fits & once).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    one = open_rows.groupBy("doc_id", "n", "root").agg(F.max(F.col("root") != F.col("main")).alias("odd"))
+    rest = prefix_pairs(one, flat)
     second = confirmed(rest, texts)
     node = labels.select(F.col("node"), F.col("root"))
     joins = second.join(node.toDF("a", "ra"), "a", "left").join(node.toDF("b", "rb"), "b", "left").select(
