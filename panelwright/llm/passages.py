@@ -2,8 +2,8 @@
 
 A window is a run of 20 words; a word goes when a window over it also starts earlier, in a document
 of smaller id or before in its own. Two documents that share a window also share its anchor, the
-smallest of its six-word hashes, so only windows with an anchor that two documents have are looked at
-(about an eighth of the words are anchors). Aggregation over the hashes of those windows confirms
+smallest of its eight-word hashes, so only windows with an anchor that two documents have are looked at
+(about a seventh of the words are anchors). Aggregation over the hashes of those windows confirms
 recurring passages and the first document of each. The confirmed passages of a document are compiled
 into its automaton, a shard of the phrase list, and the document is streamed through it to locate
 every occurrence. (One automaton per document, because the phrase list grows with the corpus: a list
@@ -34,7 +34,7 @@ from panelwright.llm.neardup import packed
 from panelwright.llm.words import Words, blocks, grams, inside_rows, list_array, mix
 from panelwright.session import materialize
 
-WINDOW, ANCHOR = 20, 6
+WINDOW, ANCHOR = 20, 8
 LAST = (1 << 63) - 1  # stands for a null id
 
 _U = np.uint64
@@ -231,8 +231,8 @@ def _gone(runs: pa.Array, opened: list[bytes], every: bool = False):
 
 
 def located(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """For ``(doc_id, text)``: base rows marked ``copy``, compressed texts ``(ord, z)`` of documents that
-    share an anchor, and ``(ord, runs)``: runs of windows that an earlier document has.
+    """For ``(doc_id, text)``: base rows marked ``copy``, compressed texts ``(ord, z)``, and ``(ord, runs)``:
+    runs of windows that an earlier document has.
 
     A piece that an earlier document has as a whole is settled by that; only pieces that their document has
     first are looked at window by window.
@@ -248,8 +248,8 @@ def located(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     live = marked.where("NOT copy").select("ord").distinct()
     mine = flat.join(shared, "anchor").groupBy("ord").agg(F.collect_set("anchor").alias("shared")).join(live, "ord", "left_semi")
     mine = materialize(mine, "shared")
-    texts = materialize(packed(numbered).toDF("ord", "z").join(mine.select("ord"), "ord", "left_semi"), "texts")
-    found = materialize(candidates(texts.join(mine, "ord").select("ord", "z", "shared")), "pieces")
+    texts = packed(numbered).toDF("ord", "z")  # shuffled by ord once: both joins reuse that exchange
+    found = candidates(texts.join(mine, "ord").select("ord", "z", "shared"))
     first = found.groupBy("piece").agg(F.min("ord").alias("head"))
     known = found.join(first, "piece")
     whole = known.where("ord > head").select("ord", "place", F.size("keys").cast("bigint").alias("size"))
