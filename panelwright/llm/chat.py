@@ -8,8 +8,8 @@ one role in a row become a turn.
 
 Transcripts of any length are decoded in pieces: a piece is a table of best scores from each role before it to
 each role at its end, tables of neighbouring pieces combine into one, and once the whole is known each piece is
-decoded between the roles at its ends. Scores are whole numbers, so the grouping can't change a result. Of equal
-scores the first role in ``ROLES`` wins.
+decoded between the roles at its ends. Scores are whole numbers, so every grouping finds the same best score; of
+paths with equal scores one is taken that depends on the bounds of pieces, and those on the rows alone.
 
 Defined results: a null text is an empty line; a null or unknown tag is no marker; a null conversation id is a
 conversation of its own; rows with equal turn numbers are ordered by a hash of their content, equal rows
@@ -189,8 +189,8 @@ def decode(rows: DataFrame) -> DataFrame:
     leaves = materialize(lines.groupBy("conv_id", "span", "inner").applyInPandas(tables, f"conv_id bigint, {piece}, m array<bigint>"), "pieces")
     levels = [numbered(leaves)]
     while levels[-1].agg(F.max("idx")).first()[0]:
-        up = levels[-1].withColumn("idx", F.floor(F.col("idx") / FAN)).groupBy("conv_id", "idx").agg(
-            F.sort_array(F.collect_list(F.struct(levels[-1]["idx"].alias("i"), "m"))).alias("ms"))  # at most FAN tables
+        up = levels[-1].select("conv_id", F.floor(F.col("idx") / FAN).alias("up"), F.struct(F.col("idx").alias("i"), "m").alias("x")).groupBy(
+            "conv_id", F.col("up").alias("idx")).agg(F.sort_array(F.collect_list("x")).alias("ms"))  # at most FAN tables
         levels.append(materialize(up.mapInPandas(_combined, "conv_id bigint, idx bigint, m array<bigint>"), "pieces"))
 
     # the whole transcript: from the start to its best end; then each level between the ends of the one above
