@@ -66,7 +66,8 @@ FROM pn WHERE year <= 2000"""),
     "wd": (("pn",), """
 SELECT country, max(CASE WHEN year = 1995 THEN co2 END) AS x1995, max(CASE WHEN year = 1996 THEN co2 END) AS x1996,
   max(CASE WHEN year = 1997 THEN co2 END) AS x1997, max(CASE WHEN year = 1998 THEN co2 END) AS x1998,
-  max(CASE WHEN year = 1999 THEN co2 END) AS x1999, max(CASE WHEN year = 2000 THEN co2 END) AS x2000
+  max(CASE WHEN year = 1999 THEN co2 END) AS x1999, max(CASE WHEN year = 2000 THEN co2 END) AS x2000,
+  max(CASE WHEN year = 2001 THEN co2 END) AS x2001
 FROM pn GROUP BY country"""),
     "mi": (("pn",), """
 SELECT i.imp, p.n_nationkey, p.country, p.region, p.oecd, p.year, p.time, p.co2, ln(p.co2) AS co2_log, p.sl_total, p.gdp,
@@ -102,15 +103,9 @@ def _closure(names) -> list[str]:
     return out
 
 
-_FRAMES: dict[tuple[str, str], DataFrame] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One supplied table; the resolved reader is kept so footers are read once."""
-    key = (spark.sparkContext.applicationId, f"{sf_dir}/{name}.parquet")
-    if key not in _FRAMES:
-        _FRAMES[key] = spark.read.parquet(key[1])
-    return _FRAMES[key]
+    """One supplied table."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shape(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

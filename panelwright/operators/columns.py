@@ -48,8 +48,16 @@ def select(df: DataFrame, *picks: str | Sequence[str], drop: Iterable[str] = ())
 
 
 def rename(df: DataFrame, **new_from_old: str) -> DataFrame:
-    """``rename(df, new="old")``."""
-    return df.withColumnsRenamed({old: new for new, old in new_from_old.items()})
+    """``rename(df, new="old")``, all at once, so names can be swapped; unknown names raise."""
+    known(df, new_from_old.values())
+    renamed = {old: new for new, old in new_from_old.items()}
+    return df.select(*[F.col(f"`{c}`").alias(renamed.get(c, c)) for c in df.columns])
+
+
+def known(df: DataFrame, names: Iterable[str]) -> None:
+    missing = [n for n in names if n not in df.columns]
+    if missing:
+        raise ValueError(f"no such columns: {missing}")
 
 
 def rename_at(df: DataFrame, names: dict[int, str]) -> DataFrame:
@@ -58,24 +66,29 @@ def rename_at(df: DataFrame, names: dict[int, str]) -> DataFrame:
 
 
 def add_suffix(df: DataFrame, columns: Iterable[str], suffix: str) -> DataFrame:
+    columns = list(columns)
+    known(df, columns)
     return df.withColumnsRenamed({c: f"{c}_{suffix}" for c in columns})
 
 
 def snake_case(name: str) -> str:
     """One header as a lower snake_case identifier; a leading digit gets an ``x``."""
     text = name.replace("%", " percent ").replace("#", " number ")
-    text = re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", text)
+    text = re.sub(r"([A-Z]+)([A-Z][a-z])", r"\1_\2", re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", text))
     text = re.sub(r"[^A-Za-z0-9]+", "_", text).strip("_").lower()
     return f"x{text}" if not text or text[0].isdigit() else text
 
 
 def clean_names(df: DataFrame) -> DataFrame:
-    seen: dict[str, int] = {}
-    names = []
+    """Clean every header; a name that is taken gets the next free number."""
+    names: list[str] = []
     for raw in df.columns:
-        base = snake_case(raw)
-        seen[base] = seen.get(base, 0) + 1
-        names.append(base if seen[base] == 1 else f"{base}_{seen[base]}")
+        base = name = snake_case(raw)
+        number = 1
+        while name in names:
+            number += 1
+            name = f"{base}_{number}"
+        names.append(name)
     return df.toDF(*names)
 
 

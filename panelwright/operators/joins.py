@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
+
+from panelwright.operators.values import unique_by
 from pyspark.sql import functions as F
 
 
@@ -14,7 +16,15 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def left_join(left: DataFrame, right: DataFrame, on: Sequence[str] | Mapping[str, str]) -> DataFrame:
-    """Left join on shared names, or on ``{left_name: right_name}``; right keys are dropped."""
+    """Left join on shared names, or on ``{left_name: right_name}``; right keys are dropped.
+
+    Other names that both sides have come out as ``{name}_x`` and ``{name}_y``. The right side must hold a key once.
+    """
+    keys = list(on.values()) if isinstance(on, Mapping) else list(on)
+    both = [c for c in right.columns if c in left.columns and c not in keys]
+    clash = [c for c in both if not (isinstance(on, Mapping) and c in on)]
+    left = left.withColumnsRenamed({c: f"{c}_x" for c in clash})
+    right = unique_by(right.withColumnsRenamed({c: f"{c}_y" for c in clash}), keys) if len(right.columns) > len(keys) else right.distinct()
     if isinstance(on, Mapping):
         renamed = right.withColumnsRenamed({r: f"__key_{r}" for r in on.values()})
         cond = [left[l] == renamed[f"__key_{r}"] for l, r in on.items()]
@@ -31,6 +41,7 @@ def natural_left_join(left: DataFrame, right: DataFrame) -> tuple[DataFrame, lis
     keys = shared_keys(left, right)
     if not keys:
         raise ValueError("the frames share no column")
+    right = unique_by(right, keys) if len(right.columns) > len(keys) else right.distinct()
     return left.join(right, keys, "left"), keys
 
 

@@ -15,17 +15,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-RANGES = 128  # a power of two; also the most rows any later unpartitioned step sees
+RANGES = 128  # the least number of ranges; a power of two
 _PER_RANGE = 8  # sampled keys per range: evens out range sizes
 
 
+def ranges_for(df: DataFrame) -> int:
+    """Number of ranges, a power of two: four for each shuffle partition the session is set to, so it follows the input
+    as that setting does. Results do not depend on it."""
+    wanted = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(RANGES, 1 << (wanted - 1).bit_length())
+
+
 def _key(columns: Sequence[str]) -> Column:
     return F.struct(*[F.col(c) for c in columns])
 
 
-def _cuts_below(key: Column) -> Column:
-    """How many sorted cut points lie below the key: a binary search of log2(RANGES) steps."""
-    steps = F.array(*[F.lit(RANGES >> i) for i in range(1, RANGES.bit_length())])
+def _cuts_below(key: Column, ranges: int) -> Column:
+    """How many sorted cut points lie below the key: a binary search of log2(ranges) steps."""
+    steps = F.array(*[F.lit(ranges >> i) for i in range(1, ranges.bit_length())])
     return F.aggregate(
         steps,
         F.lit(0),
@@ -33,21 +40,20 @@ def _cuts_below(key: Column) -> Column:
     )
 
 
-def cut_into_ranges(df: DataFrame, order: Sequence[str]) -> DataFrame:
+def cut_into_ranges(df: DataFrame, order: Sequence[str], ranges: int | None = None) -> DataFrame:
     """Add ``__range``: 0-based range of the sort key, rising with it."""
-    size = RANGES * _PER_RANGE
-    sample = (
-        df.select(*order)
-        .select(_key(order).alias("k"), F.xxhash64(*order).alias("h"))
-        .orderBy("h", "k")
-        .limit(size)  # smallest hashes: top-k per task, never a full sort
-    )
+    ranges = ranges or ranges_for(df)
+    ranges = 1 << (ranges - 1).bit_length()
+    size = ranges * _PER_RANGE
+    # one key per hash bucket, the one of smallest hash: combines on the map side, so a task gives at most ``size`` rows
+    hashed = df.select(_key(order).alias("k"), F.xxhash64(*order).alias("h"))
+    sample = hashed.groupBy(F.pmod("h", F.lit(size))).agg(F.min_by("k", "h").alias("k")).select("k")
     cuts = sample.agg(F.sort_array(F.collect_list("k")).alias("__cuts")).select(
         F.filter("__cuts", lambda k, i: (i % _PER_RANGE) == _PER_RANGE - 1).alias("__cuts")
     )
     return (
-        df.crossJoin(F.broadcast(cuts))  # one row of at most RANGES keys
-        .withColumn("__range", _cuts_below(_key(order)))
+        df.crossJoin(F.broadcast(cuts))
+        .withColumn("__range", _cuts_below(_key(order), ranges))
         .drop("__cuts")
     )
 
@@ -55,7 +61,7 @@ def cut_into_ranges(df: DataFrame, order: Sequence[str]) -> DataFrame:
 def _offsets(ranged: DataFrame, weight: Column) -> DataFrame:
     """Weight in all earlier ranges, one row per range."""
     per = ranged.groupBy("__range").agg(F.sum(weight).alias("__w"))
-    running = W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)  # <= RANGES + 1 rows
+    running = W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)  # one row per range
     return per.select(
         F.col("__range"),
         F.coalesce(F.sum("__w").over(running), F.lit(0).cast("bigint")).alias("__before"),
@@ -66,7 +72,7 @@ def _offsets(ranged: DataFrame, weight: Column) -> DataFrame:
 def with_position(df: DataFrame, order: Sequence[str], *, name: str = "pos", total: str | None = None) -> DataFrame:
     """1-based row position in a stated total order (``order`` must be unique)."""
     ranged = cut_into_ranges(df, order)
-    joined = ranged.join(F.broadcast(_offsets(ranged, F.lit(1))), "__range")  # one row per range
+    joined = ranged.join(_offsets(ranged, F.lit(1)), "__range")
     rn = F.row_number().over(W.partitionBy("__range").orderBy(*order))
     out = joined.withColumn(name, F.col("__before") + rn)
     if total:
@@ -78,11 +84,11 @@ def with_previous(df: DataFrame, column: str, order: Sequence[str], *, name: str
     """Value of ``column`` in the row before, over one global order."""
     ranged = cut_into_ranges(df, order)
     last = ranged.groupBy("__range").agg(F.max_by(F.struct(column), _key(order)).alias("__last"))
-    carried = last.select(  # <= RANGES + 1 rows
+    carried = last.select(  # one row per range
         "__range", F.lag("__last").over(W.orderBy("__range")).getField(column).alias("__carry")
     )
     w = W.partitionBy("__range").orderBy(*order)
-    joined = ranged.join(F.broadcast(carried), "__range")
+    joined = ranged.join(carried, "__range")
     return joined.withColumn(
         name, F.when(F.row_number().over(w) == 1, F.col("__carry")).otherwise(F.lag(column).over(w))
     ).drop("__range", "__carry")
@@ -99,7 +105,7 @@ def value_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
     order = [*by, value]
     ranged = cut_into_ranges(counts, order)
-    joined = ranged.join(F.broadcast(_offsets(ranged, F.col("n"))), "__range")
+    joined = ranged.join(_offsets(ranged, F.col("n")), "__range")
     running = W.partitionBy("__range").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     placed = joined.withColumn(
         "before", F.col("__before") + F.coalesce(F.sum("n").over(running), F.lit(0).cast("bigint"))

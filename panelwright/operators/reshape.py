@@ -24,23 +24,31 @@ def years_longer(df: DataFrame, first: int, last: int, *, prefix: str = "x", val
 
 
 def wider(df: DataFrame, keys: Sequence[str], names_from: str, levels: Sequence, values_from: Sequence[str]) -> DataFrame:
-    """Rows to columns named ``{value}_{level}``. Levels are stated, so no extra pass finds them."""
-    aggs = [
-        F.max(F.when(F.col(names_from) == level, F.col(v))).alias(f"{v}_{level}")
-        for v in values_from
-        for level in levels
-    ]
+    """Rows to columns named ``{value}_{level}``; levels are stated, so no extra pass finds them.
+
+    A level that is not stated, or two rows for one cell, fails the job instead of losing rows.
+    """
+    here = F.col(names_from)
+    stray = F.coalesce(here.isin(list(levels)), F.lit(False))
+    aggs = []
+    for v in values_from:
+        for level in levels:
+            twice = F.count_if(here == level) > 1
+            cell = F.max(F.when(here == level, F.col(v)))
+            aggs.append(F.when(twice, F.raise_error(F.lit(f"two rows for {v}_{level}"))).otherwise(cell).alias(f"{v}_{level}"))
+    aggs[0] = F.when(F.count_if(~stray) > 0, F.raise_error(F.lit(f"unlisted level of {names_from}"))).otherwise(aggs[0]).alias(
+        f"{values_from[0]}_{levels[0]}")
     return df.groupBy(*keys).agg(*aggs)
 
 
 def explode_cell(df: DataFrame, column: str, sep: str) -> DataFrame:
-    return df.withColumn(column, F.explode(F.split(F.col(column), sep)))
+    return df.withColumn(column, F.explode_outer(F.split(F.col(column), sep)))
 
 
 def parse_number(text: Column) -> Column:
-    """First number in a text, grouping commas ignored; NULL when there is none."""
-    found = F.regexp_extract(F.regexp_replace(text.cast("string"), ",", ""), r"(-?[0-9]+\.?[0-9]*)", 1)
-    return F.nullif(found, F.lit("")).cast("double")
+    """First number in a text, grouping commas ignored, exponents read; NULL when there is none."""
+    plain = F.regexp_replace(text.cast("string"), r"(?<=\d),(?=\d{3})", "")
+    return F.regexp_extract(plain, r"(-?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)", 1).try_cast("double")
 
 
 def level_order(df: DataFrame, column: str, by: Column, *, name: str = "level") -> DataFrame:

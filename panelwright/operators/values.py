@@ -17,18 +17,26 @@ def case_when(*pairs: tuple[Column, object], otherwise: object = None) -> Column
     return out.otherwise(otherwise)
 
 
+def unique_by(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``df`` with one row per key; a second row of a key fails the job. Combines on the map side."""
+    rest = [c for c in df.columns if c not in keys]
+    row = F.struct(*[F.col(c) for c in rest])
+    checked = F.when(F.count("*") > 1, F.raise_error(F.concat(F.lit("key given twice: "), *[F.coalesce(F.first(F.col(k)).cast("string"), F.lit("NULL")) for k in keys])))
+    return df.groupBy(*keys).agg(checked.otherwise(F.max(row)).alias("__row")).select(*keys, *[F.col(f"__row.{c}").alias(c) for c in rest])
+
+
 def recode(df: DataFrame, column: str, aliases: DataFrame, *, into: str | None = None) -> DataFrame:
     """Replace names through an ``(alias, name)`` table; names not listed stay as they are."""
-    table = aliases.select(F.col("alias").alias("__alias"), F.col("name").alias("__name"))
+    table = unique_by(aliases.select(F.col("alias").alias("__alias"), F.col("name").alias("__name")), ["__alias"])
     joined = df.join(table, F.col(column) == F.col("__alias"), "left")
     return joined.withColumn(into or column, F.coalesce("__name", column)).drop("__alias", "__name")
 
 
 def patch(df: DataFrame, column: str, patches: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Override cells of ``column`` where ``patches`` holds a row for the key."""
-    table = patches.select(*keys, F.col(column).alias("__patch"))
-    joined = df.join(table, list(keys), "left")
-    return joined.withColumn(column, F.coalesce("__patch", column)).select(*df.columns)
+    table = unique_by(patches.select(*keys, F.col(column).alias("__patch"), F.lit(True).alias("__given")), keys)
+    joined = df.join(table, list(keys), "left")  # a patch to NULL counts
+    return joined.withColumn(column, F.when(F.col("__given"), F.col("__patch")).otherwise(F.col(column))).select(*df.columns)
 
 
 def missing_codes(value: Column, *, negative: bool = True, texts: Sequence[str] = ()) -> Column:
@@ -37,13 +45,13 @@ def missing_codes(value: Column, *, negative: bool = True, texts: Sequence[str]
     if texts:
         out = F.when(~F.trim(out.cast("string")).isin(*texts), out)
     if negative:
-        out = F.when(out >= 0, out)
+        out = F.when(out.try_cast("double") >= 0, out)
     return out
 
 
 def decode(df: DataFrame, code: str, labels: DataFrame, *, into: str) -> DataFrame:
     """Code to label through a ``(code, label)`` table."""
-    table = labels.select(F.col("code").alias("__code"), F.col("label").alias(into))
+    table = unique_by(labels.select(F.col("code").alias("__code"), F.col("label").alias(into)), ["__code"])
     return df.join(table, F.col(code) == F.col("__code"), "left").drop("__code")
 
 
@@ -83,9 +91,13 @@ def separate(df: DataFrame, column: str, into: Sequence[str], sep: str) -> DataF
 
 
 def dummies(column: str, levels: Sequence[str], base: str) -> dict[str, Column]:
-    """Treatment contrasts against ``base``; names are ``column`` + level."""
+    """Treatment contrasts against ``base``; names are ``column`` + level. A value outside ``levels`` fails the job."""
+    here = F.col(column)
+    stray = here.isNotNull() & ~here.isin(list(levels))
     return {
-        f"{column}{level}": (F.col(column) == level).cast("double") for level in levels if level != base
+        f"{column}{level}": F.when(stray, F.raise_error(F.concat(F.lit("unlisted level: "), here))).otherwise((here == level).cast("double"))
+        for level in levels
+        if level != base
     }
 
 

@@ -28,9 +28,9 @@ def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
     )
 
 
-def query(name: str, sql: str | None = None, *, uses: str = "", keys: str = "", floats: str = "",
+def query(name: str, sql: str | None = None, *, uses: str = "", keys: str = "", floats: str | list[str] = "",
           digits: int = 4):
-    """Register ``fn(shapes…, ctx)``; ``sql`` is the DuckDB text over the same shapes.
+    """Register ``fn(shapes…)``; ``sql`` is the DuckDB text over the same shapes.
 
     ``keys`` are columns compared as they are, ``floats`` those rounded on both sides.
     """
@@ -53,7 +53,7 @@ def query(name: str, sql: str | None = None, *, uses: str = "", keys: str = "",
             derived = [s for s in shapes if not s.startswith("@")]
             cte = shape_cte(*derived) if derived else ""
             cols = [c.strip() for c in keys.split(",") if c.strip()]
-            cols += [f'round("{c}" + 1e-7, {digits}) AS "{c}"' for c in floats.split()]
+            cols += [f'round("{c}" + 1e-7, {digits}) AS "{c}"' for c in (floats.split() if isinstance(floats, str) else floats)]
             body = sql.strip()
             if body.upper().startswith("WITH "):
                 cte = cte + ", " if cte else "WITH "

@@ -16,7 +16,7 @@ from panelwright.session import scratch_dir
 from panelwright.sources.delimited import read_delimited
 from panelwright.sources.tables import inline, load_table, read_lines, save_tables
 
-YEARS = ["x1995", "x1996", "x1997", "x1998", "x1999", "x2000"]
+YEARS = ["x1995", "x1996", "x1997", "x1998", "x1999", "x2000", "x2001"]
 
 
 def _folder(df, name: str) -> str:
@@ -41,25 +41,25 @@ def _export(wd, name: str, *columns: str) -> str:
     records = wd.select(F.concat_ws(",", *cell).alias("value"))
     spark = wd.sparkSession
     frame = inline(spark, "value string", ("Data Source,World Development Indicators,",), ("",),
-                   ("Last Updated Date,2022-01-01",), (",".join(columns),), ("Data source,GCP",))
+                   ("Last Updated Date,2022-01-01",), (",".join(columns),), ("Data source,survey office",))
     frame.unionByName(records).write.text(path)
     return path
 
 
 @query("src_csv_skip", "SELECT country, x1995, x1996, x1997, x1998, x1999, "
-       "CASE WHEN country = 'NATION_4' THEN NULL ELSE x2000 END AS x2000 FROM wd",
+       "CASE WHEN country = 'NATION_4' THEN NULL ELSE x2000 END AS x2000, x2001 FROM wd",
        uses="wd", keys="country", floats=" ".join(YEARS))
 def src_csv_skip(wd):
     dirty = wd.withColumn("x2000", F.when(F.col("country") != "NATION_4", F.col("x2000")))
     path = _export(dirty, "csv_skip", "country", *YEARS)
-    return read_delimited(wd.sparkSession, path, ["country", *YEARS], key="country", numbers=YEARS)
+    return read_delimited(wd.sparkSession, path, ["country", *YEARS], key="country", numbers=YEARS, header=["country", *YEARS])
 
 
 @query("src_sheet", "SELECT country, x1997 AS coverage FROM wd WHERE x1997 IS NOT NULL",
        uses="wd", keys="country", floats="coverage")
 def src_sheet(wd):
     path = _export(wd, "sheet", "country", *YEARS)
-    sheet = read_delimited(wd.sparkSession, path, ["cnt", "cov"], key="cnt", numbers=["cov"], picks=[1, 4])
+    sheet = read_delimited(wd.sparkSession, path, ["cnt", "cov"], key="cnt", numbers=["cov"], picks=[1, 4], header=["country", YEARS[2]])
     return C.rename_at(sheet, {1: "country", 2: "coverage"}).dropna(subset=["coverage"])
 
 
@@ -195,12 +195,12 @@ def prj_ifelse(pn):
 
 
 @query("prj_patch", """
-SELECT country, year, CASE WHEN country = 'NATION_3' AND year = 1995 THEN 3.9e0
- WHEN country = 'NATION_3' AND year = 1996 THEN 4.1e0 ELSE co2 END AS co2 FROM pn""", uses="pn", keys="country, year",
+SELECT country, year, CASE WHEN country = 'NATION_3' AND year = 1995 THEN 7.25e0
+ WHEN country = 'NATION_3' AND year = 1996 THEN 8.75e0 ELSE co2 END AS co2 FROM pn""", uses="pn", keys="country, year",
        floats="co2")
 def prj_patch(pn):
     patches = inline(pn.sparkSession, "country string, year int, co2 double",
-                     ("NATION_3", 1995, 3.9), ("NATION_3", 1996, 4.1))
+                     ("NATION_3", 1995, 7.25), ("NATION_3", 1996, 8.75))
     return V.patch(pn.select("country", "year", "co2"), "co2", patches, ["country", "year"])
 
 
@@ -283,12 +283,13 @@ def prj_cbind(wd, dim):
 
 @query("prj_dummy", """
 SELECT country, year, CASE WHEN region = 'AMERICA' THEN 1e0 ELSE 0e0 END AS "regionAMERICA",
- CASE WHEN region = 'ASIA' THEN 1e0 ELSE 0e0 END AS "regionASIA", CASE WHEN oecd = 'OECD' THEN sl_total ELSE 0e0 END AS oecd_sl
- FROM pn""", uses="pn", keys="country, year", floats="regionAMERICA regionASIA oecd_sl")
+ CASE WHEN region = 'ASIA' THEN 1e0 ELSE 0e0 END AS "regionASIA", CASE WHEN region = 'EUROPE' THEN 1e0 ELSE 0e0 END AS "regionEUROPE",
+ CASE WHEN region = 'MIDDLE EAST' THEN 1e0 ELSE 0e0 END AS "regionMIDDLE EAST", CASE WHEN oecd = 'OECD' THEN sl_total ELSE 0e0 END AS oecd_sl
+ FROM pn""", uses="pn", keys="country, year", floats=["regionAMERICA", "regionASIA", "regionEUROPE", "regionMIDDLE EAST", "oecd_sl"])
 def prj_dummy(pn):
-    made = V.dummies("region", ["AFRICA", "AMERICA", "ASIA"], base="AFRICA")
+    made = V.dummies("region", ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"], base="AFRICA")
     return pn.withColumns(made).select(
-        "country", "year", *made, (F.when(F.col("oecd") == "OECD", 1.0).otherwise(0.0) * F.col("sl_total")).alias("oecd_sl"))
+        "country", "year", *[F.col(f"`{c}`") for c in made], (F.when(F.col("oecd") == "OECD", 1.0).otherwise(0.0) * F.col("sl_total")).alias("oecd_sl"))
 
 
 @query("prj_quad", "SELECT country, year, CAST(time*time AS DOUBLE) AS time2, ln(co2) AS co2_log, "

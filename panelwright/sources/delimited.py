@@ -8,33 +8,48 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+NOTES = r"(?i)^(data source|last updated|data for|source)\b"
+
+
 def read_delimited(spark: SparkSession, path: str, columns: Sequence[str], *, key: str,
                    numbers: Sequence[str], picks: Sequence[int] | None = None,
-                   missing: Sequence[str] = ("NA", "false")) -> DataFrame:
+                   missing: Sequence[str] = ("NA", "false"), header: Sequence[str] = (), notes: str = NOTES) -> DataFrame:
     """Read columns by position and drop every line that is not a record.
 
-    Files are split and read in parallel, so "skip the first n lines" has no meaning per split.
-    A line is a record when its key cell is filled and every number cell is a number, empty or a
-    ``missing`` marker, at least one of them given: that drops preamble, header and footer wherever
-    they stand. ``picks`` takes 1-based positions of a wider sheet.
+    Files are split and read in parallel, so "skip the first n lines" has no meaning per split. A line goes
+    if its key cell is empty, if it repeats the ``header`` cells, or if its key matches ``notes`` (preamble and
+    footer). Every other line is a record: a cell that is no number, or a ``missing`` marker, becomes NULL and
+    costs nothing else. ``picks`` takes 1-based positions of a wider sheet. Use :func:`dropped_lines` for the rest.
     """
+    return _lines(spark, path, columns, key, numbers, picks, missing, header, notes).where("__record").drop("__record")
+
+
+def dropped_lines(spark: SparkSession, path: str, columns: Sequence[str], *, key: str, numbers: Sequence[str],
+                  picks: Sequence[int] | None = None, missing: Sequence[str] = ("NA", "false"),
+                  header: Sequence[str] = (), notes: str = NOTES) -> DataFrame:
+    """The lines that :func:`read_delimited` leaves out."""
+    return _lines(spark, path, columns, key, numbers, picks, missing, header, notes).where("NOT __record").drop("__record")
+
+
+def _lines(spark, path, columns, key, numbers, picks, missing, header, notes) -> DataFrame:
     picks = list(picks or range(1, len(columns) + 1))
     declared = ", ".join(f"c{i} string" for i in range(1, max(picks) + 1))
     raw = spark.read.schema(declared).csv(path)
     text = raw.select(*[F.trim(f"c{p}").alias(c) for p, c in zip(picks, columns)])
     marked = {c: F.coalesce(F.col(c).isin(*missing), F.lit(False)) for c in columns}
-    typed = text.select(
+    plain = {c: F.regexp_replace(F.regexp_replace(c, r"(?<=\d),(?=\d{3})", ""), r"(?<=\d)\s*[*†]+$", "") for c in columns}
+    named = [F.lower(F.trim(F.coalesce(F.col(c), F.lit("")))) == h.lower() for c, h in zip(columns, header)]
+    heads = _all(*named) if named else F.lit(False)
+    record = F.coalesce(F.col(key), F.lit("")) != ""
+    return text.select(
         *[
-            F.when(~marked[c], F.col(c).try_cast("double")).alias(c)
+            F.when(~marked[c], plain[c].try_cast("double")).alias(c)
             if c in numbers
             else F.when(~marked[c], F.nullif(F.col(c), F.lit(""))).alias(c)
             for c in columns
         ],
-        _all(*[F.coalesce(F.col(c), F.lit("")) .isin("", *missing) | F.col(c).try_cast("double").isNotNull()
-               for c in numbers]).alias("__clean"),
-        _any(*[F.coalesce(F.col(c), F.lit("")) != "" for c in numbers]).alias("__given"),
+        (record & ~heads & ~F.coalesce(F.col(key).rlike(notes), F.lit(False))).alias("__record"),
     )
-    return typed.where(F.col(key).isNotNull() & F.col("__clean") & F.col("__given")).drop("__clean", "__given")
 
 
 def _all(*conds):
@@ -42,10 +57,3 @@ def _all(*conds):
     for c in conds:
         out = out & c
     return out
-
-
-def _any(*conds):
-    out = F.lit(False)
-    for c in conds:
-        out = out | c
-    return out

@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 
 def save_tables(folder: str, tables: Mapping[str, DataFrame], *, partition_by: Sequence[str] = ()) -> None:
-    """Write several named tables, replacing what is there; columns absent from a table do not partition it."""
+    """Write several named tables, replacing what is there; a partition column that no table has raises."""
+    unknown = [c for c in partition_by if not any(c in df.columns for df in tables.values())]
+    if unknown:
+        raise ValueError(f"no such partition columns: {unknown}")
     for name, df in tables.items():
         parts = [c for c in partition_by if c in df.columns]
         writer = df.write.mode("overwrite")
@@ -28,4 +31,4 @@ def inline(spark: SparkSession, schema: str, *rows: tuple) -> DataFrame:
 def read_lines(spark: SparkSession, *globs: str, sep: str | None = None) -> DataFrame:
     """All lines of all matching files as rows ``(file, line)``."""
     reader = spark.read.option("lineSep", sep) if sep else spark.read
-    return reader.text(list(globs)).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("line"))
+    return reader.text(list(globs)).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"))
