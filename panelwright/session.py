@@ -37,6 +37,9 @@ def scratch_dir(spark: SparkSession) -> str:
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
+        default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:"
+        if "://" not in configured and default.startswith("file:") and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"spark.checkpoint.dir {configured!r} names no file system that executors share")
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
