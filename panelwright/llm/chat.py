@@ -125,9 +125,34 @@ def train(rows: DataFrame) -> Model:
     return Model(emit, move)
 
 
-def _observed(frame: pd.DataFrame) -> list[tuple[int, int, bool, int]]:
-    return [(found, feature, k == 0, i) for i, (tag, text) in enumerate(zip(frame["role"], frame["text"]))
-            for k, (found, feature, _) in enumerate(observe(tag, text))]
+_ORDER = ("conv_id", "span", "inner", "turn", "h", "id")
+
+
+def _together(rows: DataFrame) -> DataFrame:
+    """Rows of a piece in one task, side by side and in order."""
+    return rows.repartition("conv_id", "span", "inner").sortWithinPartitions(*_ORDER)
+
+
+def _pieces(frames):
+    """``(key, rows)`` of each piece from frames sorted by piece; a piece may run over several frames."""
+    key, held = None, []
+    for f in frames:
+        for row in zip(*[f[c].tolist() if c != "inner" else f[c] for c in f.columns]):
+            row = dict(zip(f.columns, row))
+            mine = tuple(None if x is None or x != x else x for x in (row["conv_id"], row["span"])) + (
+                tuple(row["inner"].values() if isinstance(row["inner"], dict) else row["inner"]) if row["inner"] is not None else None,)
+            if held and mine != key:
+                yield key, held
+                held = []
+            key = mine
+            held.append(row)
+    if held:
+        yield key, held
+
+
+def _observed(rows: list[dict]) -> list[tuple[int, int, bool, int]]:
+    return [(found, feature, k == 0, i) for i, row in enumerate(rows)
+            for k, (found, feature, _) in enumerate(observe(row["role"], row["text"]))]
 
 
 def best_between(steps: list[np.ndarray], entry: int, leave: int) -> list[int]:
@@ -176,17 +201,17 @@ def decode(rows: DataFrame) -> DataFrame:
     model = train(rows)
     lines = located(rows)
 
-    def ordered(frame: pd.DataFrame) -> pd.DataFrame:
-        return frame.sort_values(["turn", "h", "id"], kind="stable", na_position="first").reset_index(drop=True)
-
-    def tables(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = ordered(frame)
-        made = combine([model.step(a, b, c) for a, b, c, _ in _observed(frame)])
-        inner = frame["inner"][0]
-        return pd.DataFrame({"conv_id": frame["conv_id"][:1], "span": frame["span"][:1], "inner": [inner], "m": [_flat(made)]})
+    def tables(frames):
+        out = []
+        for (conv, span, inner), part in _pieces(frames):
+            out.append((conv, span, inner, _flat(combine([model.step(a, b, c) for a, b, c, _ in _observed(part)]))))
+            if len(out) == 5000:
+                yield _framed(out, ["conv_id", "span", "inner", "m"])
+                out = []
+        yield _framed(out, ["conv_id", "span", "inner", "m"])
 
     piece = "span bigint, inner struct<turn:bigint,x:bigint,y:bigint>"
-    leaves = materialize(lines.groupBy("conv_id", "span", "inner").applyInPandas(tables, f"conv_id bigint, {piece}, m array<bigint>"), "pieces")
+    leaves = materialize(_together(lines).mapInPandas(tables, f"conv_id bigint, {piece}, m array<bigint>"), "pieces")
     levels = [numbered(leaves)]
     while levels[-1].agg(F.max("idx")).first()[0]:
         up = levels[-1].select("conv_id", F.floor(F.col("idx") / FAN).alias("up"), F.struct(F.col("idx").alias("i"), "m").alias("x")).groupBy(
@@ -208,22 +233,38 @@ def decode(rows: DataFrame) -> DataFrame:
     work = lines.join(placed, lines["conv_id"].eqNullSafe(placed["c"]) & lines["span"].eqNullSafe(placed["s"])
                       & lines["inner"].eqNullSafe(placed["n"]), "left").drop("c", "s", "n")
 
-    def turns(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = ordered(frame)
-        seen = _observed(frame)
-        states = best_between([model.step(a, b, c) for a, b, c, _ in seen], int(frame["entry"][0]), int(frame["leave"][0]))
-        texts = [t for tag, text in zip(frame["role"], frame["text"]) for _, _, t in observe(tag, text)]
+    def turns(frames):
         out = []
-        for (found, _, _, row), state, text in zip(seen, states, texts):
-            if out and out[-1][0] == row and out[-1][2] == state:
-                out[-1][3].append(text)
-            else:
-                out.append((row, out[-1][1] + 1 if out and out[-1][0] == row else 0, state, [text]))
-        at = [r for r, *_ in out]
-        return pd.DataFrame({"conv_id": frame["conv_id"].to_numpy()[at], "turn": frame["turn"].to_numpy()[at], "segment": [s for _, s, _, _ in out],
-                             "role": [ROLES[s] for _, _, s, _ in out], "text": ["\n".join(t).strip("\n") for *_, t in out]})
-
-    return work.groupBy("conv_id", "span", "inner").applyInPandas(turns, "conv_id bigint, turn bigint, segment int, role string, text string")
+        for (conv, _, _), part in _pieces(frames):
+            seen = _observed(part)
+            states = best_between([model.step(a, b, c) for a, b, c, _ in seen], int(part[0]["entry"]), int(part[0]["leave"]))
+            texts = [t for row in part for _, _, t in observe(row["role"], row["text"])]
+            made = []
+            for (_, _, _, row), state, text in zip(seen, states, texts):
+                if made and made[-1][0] == row and made[-1][2] == state:
+                    made[-1][3].append(text)
+                else:
+                    made.append((row, made[-1][1] + 1 if made and made[-1][0] == row else 0, state, [text]))
+            for row, segment, state, lines_ in made:
+                turn = part[row]["turn"]
+                out.append((conv, None if turn is None or turn != turn else int(turn), segment, ROLES[state], "\n".join(lines_).strip("\n")))
+            if len(out) >= 5000:
+                yield _framed(out, _TURN)
+                out = []
+        yield _framed(out, _TURN)
+
+    return _together(work).mapInPandas(turns, "conv_id bigint, turn bigint, segment int, role string, text string")
+
+
+_TURN = ["conv_id", "turn", "segment", "role", "text"]
+
+
+def _framed(rows: list[tuple], names: list[str]) -> pd.DataFrame:
+    """A frame that keeps whole numbers beside nulls."""
+    columns = list(zip(*rows)) or [()] * len(names)
+    whole = {"conv_id", "turn", "span"}
+    return pd.DataFrame({n: pd.array([None if x is None else int(x) for x in c], "Int64") if n in whole else pd.Series(list(c), dtype=object)
+                         for n, c in zip(names, columns)})
 
 
 def numbered(leaves: DataFrame) -> DataFrame:
