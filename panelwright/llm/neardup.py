@@ -122,7 +122,7 @@ def sketches(docs: DataFrame) -> DataFrame:
 def packed(docs: DataFrame) -> DataFrame:
     """``(doc_id, z)``: texts compressed, so that shuffles carry less."""
     def run(batches):
-        press = zstandard.ZstdCompressor(level=3)
+        press = zstandard.ZstdCompressor(level=9)
         for batch in batches:
             made = [press.compress((t or "").encode()) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["doc_id", "z"])

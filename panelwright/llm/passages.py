@@ -75,8 +75,8 @@ def cover(starts: np.ndarray, total: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def _digest(words: list[bytes]) -> str:
-    return hashlib.sha256(b" ".join(words)).hexdigest()
+def _digest(words: list[bytes]) -> bytes:
+    return hashlib.sha256(b" ".join(words)).digest()
 
 
 def _texts(raw: np.ndarray, at: np.ndarray) -> list[list[bytes]]:
@@ -84,11 +84,14 @@ def _texts(raw: np.ndarray, at: np.ndarray) -> list[list[bytes]]:
     return [data[i:j].split() for i, j in zip(at[:-1], at[1:])]  # bytes.split() knows the same six blanks
 
 
-BASE = "ord bigint, full string, n_words bigint, n_removed bigint, kept_sha256 string, anchors array<bigint>"
+BASE = "ord bigint, full binary, n_words bigint, n_removed bigint, kept binary, anchors array<bigint>"
 
 
 def base(docs: DataFrame) -> DataFrame:
-    """What each document is without the others: its words, own repeats and distinct anchors."""
+    """What each document is without the others: its words, own repeats and distinct anchors.
+
+    ``full`` is the digest of all words, ``kept`` that of the words its own repeats leave, null if those are all.
+    """
     def run(batches):
         for batch in batches:
             for first, end, raw, at in blocks(batch.column(1)):
@@ -99,14 +102,14 @@ def base(docs: DataFrame) -> DataFrame:
                 for i, words in enumerate(_texts(raw, at)):
                     full.append(_digest(words))
                     mine = gone[w.bounds[i]:w.bounds[i + 1]]
-                    left.append(_digest([x for x, g in zip(words, mine) if not g]) if mine.any() else full[-1])
+                    left.append(_digest([x for x, g in zip(words, mine) if not g]) if mine.any() else None)
                 pairs = np.unique(np.stack([row.astype(_U), anchor], 1), axis=0) if len(row) else np.zeros((0, 2), _U)
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(first, end - first), pa.array(full), pa.array(size, pa.int64()),
-                    pa.array(np.bincount(w.row[gone], minlength=end - first), pa.int64()), pa.array(left),
+                    batch.column(0).slice(first, end - first), pa.array(full, pa.binary()), pa.array(size, pa.int64()),
+                    pa.array(np.bincount(w.row[gone], minlength=end - first), pa.int64()), pa.array(left, pa.binary()),
                     list_array(np.ascontiguousarray(pairs[:, 1]).view(np.int64),
                                np.bincount(pairs[:, 0].astype(np.int64), minlength=end - first), pa.int64()),
-                ], ["ord", "full", "n_words", "n_removed", "kept_sha256", "anchors"])
+                ], ["ord", "full", "n_words", "n_removed", "kept", "anchors"])
 
     return docs.mapInArrow(run, BASE)
 
@@ -127,9 +130,9 @@ def _groups(batch: pa.RecordBatch, z: int):
             first, held, size = i + 1, [], 0
 
 
-def _tag(full: str) -> int:
+def _tag(full: bytes) -> int:
     """Tells rows of one id apart: 31 bits of the text's digest."""
-    return int(full[:8], 16) >> 1
+    return int.from_bytes(full[:4], "big") >> 1
 
 
 PIECE = "piece bigint, ord bigint, place bigint, keys array<bigint>"
@@ -192,7 +195,7 @@ def _located(code: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def removals(texts: DataFrame) -> DataFrame:
-    """``(ord, full, n_removed, kept_sha256)`` of ``(ord, z, runs)``; texts without a run of their own are left out."""
+    """``(ord, full, n_removed, kept)`` of ``(ord, z, runs)``; texts without a run of their own are left out."""
     def run(batches):
         for batch in batches:
             out = []
@@ -200,10 +203,10 @@ def removals(texts: DataFrame) -> DataFrame:
                 for i, words, gone, full in _gone(part.column(2), opened):
                     out.append((part.column(0)[i].as_py(), full, int(gone.sum()), _digest([x for x, g in zip(words, gone) if not g])))
             cols = list(zip(*out)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64()),
-                                              pa.array(cols[3], pa.string())], ["ord", "full", "n_removed", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.int64()),
+                                              pa.array(cols[3], pa.binary())], ["ord", "full", "n_removed", "kept"])
 
-    return texts.mapInArrow(run, "ord bigint, full string, n_removed bigint, kept_sha256 string")
+    return texts.mapInArrow(run, "ord bigint, full binary, n_removed bigint, kept binary")
 
 
 def _gone(runs: pa.Array, opened: list[bytes], every: bool = False):
@@ -268,7 +271,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     return marked.join(changed, (F.col("ord") == F.col("o")) & (F.col("full") == F.col("f")), "left").select(
         F.nullif("ord", F.lit(LAST)).alias("doc_id"), "n_words",
         F.when(copy, F.col("n_words")).otherwise(F.coalesce("removed", "n_removed")).alias("n_removed"),
-        F.when(copy, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("sha", "kept_sha256")).alias("kept_sha256"))
+        F.when(copy, F.sha2(F.lit(""), 256)).otherwise(F.lower(F.hex(F.coalesce("sha", "kept", "full")))).alias("kept_sha256"))
 
 
 def strip(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
