@@ -2,11 +2,13 @@
 
 High-recall patterns propose spans, which may overlap. Spans that pass their base check are always
 personal data. For the others, boosted trees score format and context, and a threshold per kind,
-calibrated on held-out candidates, selects what else is redacted. The trees learn from candidates that
-a check outside their features settles (check digit, octet range, number of digits, an assignment
-before a secret); at most ``train_docs`` documents, drawn by hash, supply them. The fitted trees are
-turned into column expressions, so scoring stays in the row that holds the text: no explode, no
-shuffle, no join.
+calibrated on the candidates of all documents, selects what else is redacted. The trees learn from
+candidates that a check outside their features settles (check digit, octet range, number of digits, an
+assignment before a secret); about ``train_docs`` documents, drawn by hash, supply them. Candidates
+fall into two halves by hash, and the trees learned from one half score the other, so no candidate is
+scored by trees that saw it and all of them calibrate. The fitted trees are turned into column
+expressions, so scoring stays in the row that holds the text: no explode, no shuffle, no join.
+Calibration reads all texts once more and counts by kind, label and score on the map side.
 
 Defined results: a null text is an empty one without spans; rows are judged one by one, so null or
 repeated ids and equal rows need no care; an empty table, or one whose candidates are all of one
@@ -27,8 +29,9 @@ from panelwright.session import materialize
 
 TRAIN_DOCS = 20_000
 TREES, DEPTH = 12, 3
-PRECISION = 0.9  # a kind's threshold is the lowest score at which held-out precision reaches this
-HELD_OUT = 4  # every fourth candidate by hash calibrates
+PRECISION = 0.9  # a kind's threshold is the lowest score at which precision over all documents reaches this
+HALVES = 2  # of the candidates, by hash; the trees of one score the other
+BINS = 100  # of the score, for calibration
 
 KINDS = ("email", "ip", "card", "phone", "secret", "number", "handle")
 BASE = 4  # the first kinds have a base check
@@ -166,22 +169,28 @@ def _tree(lines: list[str], features: Column) -> Column:
     return F.when(F.get(features, F.lit(int(place))) <= float(limit), low).otherwise(high)
 
 
+def _half(c: Column) -> Column:
+    return F.pmod(F.xxhash64(c), F.lit(HALVES))
+
+
 class Model:
-    """Boosted trees as an expression, and a threshold for each kind (None: base spans only)."""
+    """Boosted trees of each half as expressions, and a threshold for each kind (None: base spans only)."""
 
-    def __init__(self, text: str | None, weights: list[float], limits: dict[int, float]):
-        self.text, self.weights, self.limits = text, weights, limits
+    def __init__(self, texts: list[str] | None, weights: list[list[float]], limits: dict[int, float]):
+        self.texts, self.weights, self.limits = texts, weights, limits
 
     def score(self, c: Column) -> Column:
-        def margin(x: Column) -> Column:
-            trees = re.split(r"^  Tree \d+ .*$", self.text, flags=re.M)[1:]
-            return sum((_tree([y for y in t.splitlines() if y.strip()], x) * w for t, w in zip(trees, self.weights)), F.lit(0.0))
+        """Score by the trees that did not learn from the candidate's half."""
+        def margin(x: Column, half: int) -> Column:
+            trees = re.split(r"^  Tree \d+ .*$", self.texts[half], flags=re.M)[1:]
+            return sum((_tree([y for y in t.splitlines() if y.strip()], x) * w for t, w in zip(trees, self.weights[half])), F.lit(0.0))
 
-        return _let(_features(c), lambda x: F.lit(1.0) / (F.lit(1.0) + F.exp(margin(x) * -2.0)))
+        return _let(_features(c), lambda x: F.lit(1.0) / (F.lit(1.0) + F.exp(
+            F.when(_half(c) == 0, margin(x, 1)).otherwise(margin(x, 0)) * -2.0)))
 
     def chosen(self, c: Column) -> Column:
         """True for a span that is redacted."""
-        if self.text is None or not self.limits:
+        if self.texts is None or not self.limits:
             return _checked(c)
         limit = F.lit(2.0)
         for k, v in self.limits.items():
@@ -189,32 +198,44 @@ class Model:
         return F.when(_checked(c), True).otherwise(self.score(c) >= limit)
 
 
-def fit(df: DataFrame, *, text: str = "text", train_docs: int = TRAIN_DOCS) -> Model:
-    """Train on the candidates of about ``train_docs`` documents; a hash of the row draws them."""
-    rows = df.count()
-    drawn = df.where(F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(1_000_000)) < int(1e6 * min(1, train_docs / max(rows, 1))))
-    spans = drawn.select(F.explode(candidates(F.col(f"`{text}`"))).alias("c"))
-    data = materialize(spans.select(F.col("c.k").alias("k"), _label(F.col("c")).cast("double").alias("label"),
-                                    _features(F.col("c")).alias("x"), (F.pmod(F.xxhash64("c"), F.lit(HELD_OUT)) == 0).alias("held")), "candidates")
-    seen = {r["label"] for r in data.where("NOT held").groupBy("label").count().collect()}  # at most two rows
-    if seen != {0.0, 1.0}:
-        return Model(None, [], {})
+def _grown(data: DataFrame, labels: set[float]) -> tuple[str, list[float]]:
+    """Printed trees and their weights; of a half without both labels, one leaf that says which it has."""
+    if labels != {0.0, 1.0}:
+        return f"  Tree 0 (weight 1.0):\n    Predict: {sum(2 * x - 1 for x in labels)}\n", [1.0]
     trees = GBTClassifier(labelCol="label", featuresCol="f", maxIter=TREES, maxDepth=DEPTH, seed=7).fit(
-        data.where("NOT held").select("label", array_to_vector("x").alias("f")))
-    model = Model(trees.toDebugString, list(trees.treeWeights), {0: 0.0})
-    c = F.struct(F.col("k").alias("k"))
-    margin = sum((_tree([y for y in t.splitlines() if y.strip()], F.col("x")) * w for t, w in
-                  zip(re.split(r"^  Tree \d+ .*$", model.text, flags=re.M)[1:], model.weights)), F.lit(0.0))
-    bins = data.where("held").select(c["k"].alias("k"), "label", F.floor(F.lit(100.0) / (F.lit(1.0) + F.exp(margin * -2.0))).alias("bin")).groupBy(
-        "k", "bin").agg(F.sum("label").alias("hits"), F.count("*").alias("n")).collect()  # at most 101 rows a kind
+        data.select("label", array_to_vector("x").alias("f")))
+    return trees.toDebugString, list(trees.treeWeights)
+
+
+def calibrated(df: DataFrame, model: Model, *, text: str = "text") -> dict[int, float]:
+    """Threshold of each kind from the scores and labels of all candidates of ``df``; a kind may have none."""
+    scored = F.transform(candidates(F.col(f"`{text}`")), lambda c: F.struct(
+        c["k"].alias("k"), _label(c).cast("int").alias("label"), F.floor(model.score(c) * BINS).cast("int").alias("bin")))
+    bins = df.select(F.explode(scored).alias("c")).groupBy("c.k", "c.bin").agg(
+        F.sum("c.label").alias("hits"), F.count("*").alias("n")).collect()  # at most 101 rows a kind
     limits = {}
     for k in range(len(KINDS)):
         hits = n = 0
         for r in sorted((r for r in bins if r["k"] == k), key=lambda r: -r["bin"]):
             hits, n = hits + r["hits"], n + r["n"]
             if hits >= PRECISION * (n + 1):  # one more miss than seen: small samples must be surer
-                limits[k] = r["bin"] / 100
-    model.limits = limits
+                limits[k] = r["bin"] / BINS
+    return limits
+
+
+def fit(df: DataFrame, *, text: str = "text", train_docs: int = TRAIN_DOCS) -> Model:
+    """Train on the candidates of about ``train_docs`` documents, which a hash of the row draws; calibrate on those of all."""
+    rows = df.count()
+    drawn = df.where(F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(1_000_000)) < int(1e6 * min(1, train_docs / max(rows, 1))))
+    spans = drawn.select(F.explode(candidates(F.col(f"`{text}`"))).alias("c"))
+    data = materialize(spans.select(_label(F.col("c")).cast("double").alias("label"), _features(F.col("c")).alias("x"),
+                                    _half(F.col("c")).alias("half")), "candidates")
+    seen = {(r["half"], r["label"]) for r in data.groupBy("half", "label").count().collect()}  # at most four rows
+    if {label for _, label in seen} != {0.0, 1.0}:
+        return Model(None, [], {})
+    grown = [_grown(data.where(F.col("half") == h), {label for half, label in seen if half == h}) for h in range(HALVES)]
+    model = Model([t for t, _ in grown], [w for _, w in grown], {})
+    model.limits = calibrated(df, model, text=text)
     return model
 
 
