@@ -2,7 +2,7 @@
 
 import random
 
-from panelwright.llm import pii
+from panelwright.llm import pii, quality
 
 
 def test_rare_kind_calibrates_on_all_documents(spark):
@@ -24,3 +24,24 @@ def test_rare_kind_calibrates_on_all_documents(spark):
         model = pii.fit(df, train_docs=sample)
         texts = [r["text"] for r in pii.redact(df, model).collect()]
         assert sum("[HANDLE]" in t for t in texts) == 20 and not any("[at]" in t for t in texts)
+
+
+def test_byte_fallback_has_a_band_per_language(spark):
+    """Clean text in a script that the vocabulary lacks is kept; Latin text with 40 % byte tokens is not."""
+    rng = random.Random(12)
+    amharic = "ሰላም ለሁሉም ሰዎች ዛሬ ጥሩ ቀን ነው እና ወደ ገበያ እንሄዳለን ከዚያም ቤት እንመለሳለን ልጆች በትምህርት ውስጥ ናቸው".split()
+    long = "international government understanding organization development information particular national".split()
+    rows = [(i, " ".join(rng.sample(amharic, 14)), "am") for i in range(60)]
+    # Latin texts of all fertilities, so that only the byte share tells the mixed one from them
+    for i in range(60):
+        words = [rng.choice(long) if rng.random() < i / 60 else "".join(rng.choices("qxzjvkwy", k=5)) for _ in range(60)]
+        rows.append((100 + i, " ".join(words), "la"))
+    mixed = [rng.choice(long) if k % 5 else rng.choice("ሰላምለቀነገደ") for k in range(60)]
+    rows.append((999, " ".join(mixed), "la"))
+    got = quality.judge(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()
+    share = {r["doc_id"]: r["measures"]["fallback_share"] for r in got}
+    kept = {r["doc_id"] for r in got if r["measures_kept"]}
+    failed = {r["doc_id"] for r in got if r["measures_base_failed"]}
+    assert min(share[i] for i in range(60)) > 0.5 and 0.3 < share[999] < 0.5
+    assert sum(i in kept for i in range(60)) > 50 and 999 not in failed | kept
+    assert sum(100 + i in kept for i in range(60)) > 50
