@@ -27,6 +27,7 @@ from panelwright.llm.common import query, table, vocabulary
 from panelwright.session import materialize
 
 CAPACITY, END_ID = 1024, 2
+ADDED = {"<|endoftext|>": 50256}  # the vocabulary's added token, which its rank file lacks
 BUCKET = 20_000  # pieces of a length that one task ranks, about
 
 
@@ -40,7 +41,7 @@ def _encoder(path: str):
 
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=ADDED)
 
 
 def pieces(docs: DataFrame, *, capacity: int = CAPACITY, end_id: int = END_ID, vocab: str | None = None,
@@ -59,7 +60,7 @@ def pieces(docs: DataFrame, *, capacity: int = CAPACITY, end_id: int = END_ID, v
                 part = batch.slice(low, 1000)
                 owner, made = [], [[] for _ in names[1:]]
                 for i, text in enumerate(part.column(1).to_pylist()):
-                    ids = np.append(encoder.encode_to_numpy(text or "", disallowed_special=()), end_id).astype("<u4")
+                    ids = np.append(encoder.encode_to_numpy(text or "", allowed_special="all"), end_id).astype("<u4")
                     start, stop = 0, len(ids) % capacity or min(len(ids), capacity)
                     while start < len(ids):
                         cut = ids[start:stop]

@@ -2,7 +2,7 @@
 
 import random
 
-from panelwright.llm import pii, quality
+from panelwright.llm import packing, pii, quality
 
 
 def test_rare_kind_calibrates_on_all_documents(spark):
@@ -45,3 +45,16 @@ def test_byte_fallback_has_a_band_per_language(spark):
     assert min(share[i] for i in range(60)) > 0.5 and 0.3 < share[999] < 0.5
     assert sum(i in kept for i in range(60)) > 50 and 999 not in failed | kept
     assert sum(100 + i in kept for i in range(60)) > 50
+
+
+def test_added_token_is_one_id(spark):
+    """Ids equal those of ``tokenizers`` as it comes, also where a text holds the vocabulary's added token."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    token = "<|endoftext|>"
+    texts = [f"a {token} b", token, token * 3, f"  a  {token}  \n b", f"a\n{token}", f"<{token}|>", "<|endoftext |>", "é" + token + "日本", "plain"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["ids"] for r in packing.pieces(df, with_ids=True).collect()}
+    assert got == {i: [*plain.encode(t, add_special_tokens=False).ids, packing.END_ID] for i, t in enumerate(texts)}
