@@ -1,8 +1,5 @@
-"""Least squares, random-intercept models and pooling, from cross-products that Spark sums.
-
-Rows are reduced once, to one record per group; iterations run on those records. Only tables as wide as
-the model reach the driver.
-"""
+"""Least squares, random intercepts and pooling, from cross-products that Spark sums. Only tables as wide as the model
+reach the driver."""
 
 from __future__ import annotations
 
@@ -13,10 +10,6 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.session import materialize
-
-STEPS = 200
-
 
 def cross_products(df: DataFrame, y: str, xs: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Per group: rows and the upper triangle of (1, xs, y)'(1, xs, y) over complete rows, as array ``c``."""
@@ -77,61 +70,25 @@ def condition_index(df: DataFrame, xs: Sequence[str]) -> DataFrame:
                                            "dimension int, eigenvalue double, condition_index double")
 
 
+def ols_fits(df: DataFrame, y: str, xs: Sequence[str], by: Sequence[str]) -> dict[tuple, tuple[np.ndarray, np.ndarray]]:
+    """Coefficients and their covariance for each value of ``by``: for few fits, such as imputations."""
+    p, out = len(xs) + 1, {}
+    for r in cross_products(df, y, xs, by).collect():  # a record per fit
+        m = _square(r["c"], p + 1)
+        b = np.linalg.solve(m[:p, :p], m[:p, p])
+        out[tuple(r[k] for k in by)] = b, (m[p, p] - b @ m[:p, p]) / (m[0, 0] - p) * np.linalg.inv(m[:p, :p])
+    return out
+
+
 def random_intercept(df: DataFrame, y: str, xs: Sequence[str], group: str) -> DataFrame:
-    """Maximum-likelihood fit of ``y ~ xs + (1 | group)``: one row of estimates with ``converged`` and ``singular``.
-
-    The ratio t of the intercept variance to the residual variance is searched on a log scale: each step
-    evaluates a set of candidates in one job over the group records, and narrows to the best one's neighbours.
-    """
-    stats = materialize(cross_products(df, y, xs, [group]), "groups")
-    p = len(xs) + 1
-
-    def evaluated(candidates: list[float]) -> list[tuple[float, float, np.ndarray, float]]:
-        def run(frames):
-            import pandas as pd
-
-            for f in frames:
-                c = np.stack(f["c"].to_numpy())
-                n, sums = c[:, 0], c[:, :p + 1]  # the first row of the triangle holds the column sums
-                i, j = np.triu_indices(p + 1)
-                out = []
-                for k, t in enumerate(candidates):
-                    # W^-1 of a group takes t / (1 + n t) times the product of its column sums off each cross-product
-                    cells = (c - (t / (n * t + 1))[:, None] * sums[:, i] * sums[:, j]).sum(0)
-                    out.append((k, [*map(float, cells), float(np.log(n * t + 1).sum()), float(n.sum())]))
-                yield pd.DataFrame(out, columns=["k", "v"])
-
-        size = (p + 1) * (p + 2) // 2
-        parts = stats.select("c").mapInPandas(run, "k int, v array<double>")
-        rows = parts.groupBy("k").agg(F.array(*[F.sum(F.col("v")[i]) for i in range(size + 2)]).alias("v")).collect()  # one row per candidate
-        by = {r["k"]: r["v"] for r in rows}
-        out = []
-        for k, t in enumerate(candidates):
-            *cells, logs, n = by[k]
-            m = _square(cells, p + 1)
-            b = np.linalg.solve(m[:p, :p], m[:p, p])
-            s2 = max((m[p, p] - b @ m[:p, p]) / n, 1e-300)
-            dev = n * math.log(2 * math.pi * s2) + n + logs
-            out.append((dev, t, b, s2))
-        return out
-
-    low, high, best, converged = -12.0, 12.0, None, False
-    for _ in range(STEPS):
-        grid = np.linspace(low, high, 97)
-        found = evaluated([0.0, *map(float, np.exp(grid))])
-        k = min(range(len(found)), key=lambda i: found[i][0])
-        change = math.inf if best is None else abs(best[0] - found[k][0])
-        best = found[k]
-        if change < 1e-9 * (1 + abs(best[0])) and high - low < 1e-6 or k == 0:
-            converged = True
-            break
-        step = grid[1] - grid[0]
-        low, high = grid[k - 1] - step, grid[k - 1] + step
-    dev, t, b, s2 = best
-    groups = stats.count()
-    row = (*map(float, b), float(t * s2), float(s2), float(dev), groups, converged, bool(t == 0.0))
+    """Maximum-likelihood fit of ``y ~ xs + (1 | group)``: one row of estimates and ``se_`` of each, with ``converged`` and ``singular``."""
+    from panelwright.operators.mixed import Level, Model
+
+    f = Model(df, y, xs, [Level((group,))]).fit()[""]
     names = ["intercept", *xs]
-    return df.sparkSession.createDataFrame([row], ", ".join(f"{n} double" for n in names) + ", tau2 double, sigma2 double, deviance double, n_groups bigint, converged boolean, singular boolean")
+    row = (*map(float, f.beta), *map(float, np.sqrt(np.diag(f.vcov))), float(f.g[0][0, 0]), float(f.sigma2), float(f.deviance), f.groups, f.rows, bool(f.converged), bool(f.singular))
+    return df.sparkSession.createDataFrame([row], ", ".join([*[f"{n} double" for n in names], *[f"se_{n} double" for n in names]])
+                                           + ", tau2 double, sigma2 double, deviance double, n_groups bigint, n_rows bigint, converged boolean, singular boolean")
 
 
 def pool(estimates: DataFrame, *, m: int, by: Sequence[str] = ("term",)) -> DataFrame:

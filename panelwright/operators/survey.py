@@ -20,18 +20,31 @@ def pv_mean(df: DataFrame, by: Sequence[str], values: Sequence[str], weight: str
 
 
 def pv_se(df: DataFrame, by: Sequence[str], values: Sequence[str], weight: str, replicates: Sequence[str], k: float = 0.5) -> DataFrame:
-    """Mean with its standard error: replicate-weight variance averaged over plausible values, plus the variance between them.
+    """Mean with its standard error: replicate-weight variance averaged over plausible values, plus the variance between them
+    (none for a single value).
 
-    One aggregate holds all value-by-weight sums; rows are read once and no join is made.
+    Weights and values of a row are arrays, and a row gives one line per weight with its products with all values; lines add
+    up on the map side to one per group and weight, and weights fold into a list of estimates. Expressions grow with the values
+    alone, so ten values by eighty weights are one aggregate as two by four are.
     """
-    cells = [_weighted(v, w).alias(f"m_{i}_{j}") for i, v in enumerate(values) for j, w in enumerate([weight, *replicates])]
-    wide = df.groupBy(*by).agg(F.count("*").alias("freq"), *cells)
-    p, r = len(values), len(replicates)
-    main = [F.col(f"m_{i}_0") for i in range(p)]
-    mean = sum(main, F.lit(0.0)) / p
-    sampling = sum((F.pow(F.col(f"m_{i}_{j}") - main[i], 2) for i in range(p) for j in range(1, r + 1)), F.lit(0.0)) / (p * r * (1 - k) ** 2)
-    between = sum((F.pow(m - mean, 2) for m in main), F.lit(0.0)) / (p - 1)
-    return wide.select(*by, "freq", mean.alias("mean"), F.sqrt(sampling + between * (1 + 1 / p)).alias("se"))
+    weights, p, r = [weight, *replicates], len(values), len(replicates)
+    rows = df.select(*by, F.array(*[F.col(v).cast("double") for v in values]).alias("__v"),
+                     F.posexplode(F.array(*[F.col(w).cast("double") for w in weights])).alias("__j", "__w"))
+    v = [F.col("__v")[i] for i in range(p)]
+    sums = rows.groupBy(*by, "__j").agg(F.count("*").alias("freq"), *[F.sum(F.col("__w") * x).alias(f"__s{i}") for i, x in enumerate(v)],
+                                        *[F.sum(F.when(x.isNotNull(), F.col("__w"))).alias(f"__n{i}") for i, x in enumerate(v)])
+    means = F.array(*[F.try_divide(F.col(f"__s{i}"), F.col(f"__n{i}")) for i in range(p)])
+    lists = sums.groupBy(*by).agg(F.max("freq").alias("freq"), F.sort_array(F.collect_list(F.struct("__j", means.alias("m")))).getField("m").alias("__m"))
+
+    def added(array: Column, fn=lambda x: x) -> Column:
+        return F.aggregate(array, F.lit(0.0), lambda a, x: a + fn(x))
+
+    main = F.col("__m")[0]
+    apart = F.transform(F.slice(F.col("__m"), 2, max(r, 1)), lambda m: added(F.zip_with(m, main, lambda x, y: (x - y) * (x - y))))
+    out = lists.withColumn("mean", added(main) / p)
+    between = added(main, lambda x: (x - F.col("mean")) * (x - F.col("mean"))) / (p - 1) if p > 1 else F.lit(0.0)
+    sampling = added(apart) / (p * r * (1 - k) ** 2) if r else F.lit(0.0)
+    return out.select(*by, "freq", "mean", F.sqrt(sampling + between * (1 + 1 / p)).alias("se"))
 
 
 def cycle(df: DataFrame, values: Sequence[str], weight: str, *, entity: str, group: str, levels: Sequence[str], period: str) -> DataFrame:

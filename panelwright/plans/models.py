@@ -146,9 +146,9 @@ _RI = """SELECT slope AS time, (SELECT avg(y) FROM pb) - slope * 25e-1 AS interc
  max(b) AS between_ FROM (SELECT *, avg(y) OVER (PARTITION BY country) AS m FROM pb) p, (SELECT sum(pow(m - g, 2)) AS b FROM (SELECT avg(y) AS m FROM pb GROUP BY country) k, (SELECT avg(y) AS g FROM pb) a) q) r) u"""
 
 
-@query("mm_ri", _RI, uses="pb", floats="intercept time tau2 sigma2", digits=3)
+@query("mm_ri", f"SELECT *, sqrt((tau2 + sigma2 / 6 + sigma2 * 625e-2 / 175e-1) / 25) AS se_intercept, sqrt(sigma2 / 25 / 175e-1) AS se_time FROM ({_RI}) f", uses="pb", floats="intercept time se_intercept se_time tau2 sigma2", digits=3)
 def mm_ri(pb):
-    return L.random_intercept(pb, "y", ["time"], "country").select("intercept", "time", "tau2", "sigma2")
+    return L.random_intercept(pb, "y", ["time"], "country").select("intercept", "time", "se_intercept", "se_time", "tau2", "sigma2")
 
 
 @query("mm_icc", f"SELECT tau2 / (tau2 + sigma2) AS icc FROM ({_RI}) f", uses="pb", floats="icc")
@@ -158,9 +158,8 @@ def mm_icc(pb):
 
 @query("mm_deff", f"SELECT 1 + 5 * tau2 / (tau2 + sigma2) AS deff FROM ({_RI}) f", uses="pb", floats="deff")
 def mm_deff(pb):
-    size = pb.groupBy("country").agg(F.count("*").alias("n")).agg(F.avg("n").alias("n"))
     fit = L.random_intercept(pb, "y", ["time"], "country")
-    return fit.crossJoin(size).select((1 + (F.col("n") - 1) * F.col("tau2") / (F.col("tau2") + F.col("sigma2"))).alias("deff"))
+    return fit.select((1 + (F.col("n_rows") / F.col("n_groups") - 1) * F.col("tau2") / (F.col("tau2") + F.col("sigma2"))).alias("deff"))
 
 
 @query("mm_plausible_interval", f"SELECT intercept - 196e-2 * sqrt(tau2) AS low, intercept + 196e-2 * sqrt(tau2) AS high FROM ({_RI}) f", uses="pb", floats="low high", digits=3)
@@ -169,16 +168,6 @@ def mm_plausible_interval(pb):
     return L.random_intercept(pb, "y", ["time"], "country").select((F.col("intercept") - reach).alias("low"), (F.col("intercept") + reach).alias("high"))
 
 
-@query("mm_drop_group", uses="pn")
-def mm_drop_group(pn):
-    return L.random_intercept(pn.where("country <> 'NATION_3'"), "co2", ["time"], "country")
-
-
-@query("mm_cov", uses="pn")
-def mm_cov(pn):
-    return L.random_intercept(pn, "co2", ["time", "sl_total", "gdp"], "country")
-
-
 # ---- imputations ---------------------------------------------------------------------------
 
 
