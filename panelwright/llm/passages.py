@@ -3,15 +3,16 @@
 A window is a run of 20 words; a word goes when a window over it also starts earlier, in a document
 of smaller id or before in its own. Two documents that share a window also share its anchor, the
 smallest of its eight-word hashes, so only windows with an anchor that two documents have are looked at
-(about a seventh of the words are anchors). Aggregation over the hashes of those windows confirms
-recurring passages and the first document of each. The confirmed passages of a document are compiled
-into its automaton, a shard of the phrase list, and the document is streamed through it to locate
-every occurrence. (One automaton per document, because the phrase list grows with the corpus: a list
-of all phrases would have to be sent to every task.)
+(about a seventh of the words are anchors). Runs of windows of one shared anchor are pieces, equal pieces are
+taken together, and pieces are dealt by their anchor to shards: each document's words go to the shards whose
+anchors it holds. A shard confirms the windows that several of its pieces have, compiles them into an Aho-Corasick
+automaton and streams all its pieces through it; its hits are the places that go. An anchor with more than
+``PIECES`` different pieces is cut into several shards, whose smallest documents of each window are compared by ranges of
+the window's hash. No list of all phrases is ever in one place.
 
 Documents of equal word sequences are settled as one: all but the smallest id lose every word, if
-there are at least 20. Each shuffle either combines equal keys on the map side or joins on a small
-unique side, so a passage in a third of all documents does not gather in a task.
+there are at least 20. Repeats inside a document are found in the document. Each shuffle either combines equal keys on the map side
+or joins on a small unique side, so a passage in a third of all documents does not gather in a task.
 
 Defined results: a null text has no words; a null id comes after all others; rows that share an id
 are not earlier than one another; wholly equal rows give equal results; an empty table gives an empty
@@ -31,10 +32,13 @@ from pyspark.sql import functions as F
 
 from panelwright.llm.common import free_name, query, table
 from panelwright.llm.neardup import packed
-from panelwright.llm.words import Words, blocks, grams, inside_rows, list_array, mix
+from panelwright.llm.words import BLOCK, Words, blocks, grams, inside_rows, list_array, mix
 from panelwright.session import materialize
 
 WINDOW, ANCHOR = 20, 8
+PIECES = 2048  # different pieces of one anchor in one shard
+SHARD = 1 << 20  # bytes of pieces that one automaton is compiled for
+HELD = 16 << 20  # bytes of pieces a task holds before it hands them over
 LAST = (1 << 63) - 1  # stands for a null id
 
 _U = np.uint64
@@ -120,12 +124,12 @@ def _block(opened: list[bytes]) -> Words:
 
 
 def _groups(batch: pa.RecordBatch, z: int):
-    """Slices of a batch of about a million bytes of text each, with the texts opened."""
+    """Slices of a batch of about ``BLOCK`` bytes of text each, with the texts opened."""
     opener, first, held, size = zstandard.ZstdDecompressor(), 0, [], 0
     for i in range(batch.num_rows):
         held.append(opener.decompress(batch.column(z)[i].as_py()))
         size += len(held[-1])
-        if size >= 1 << 20 or i + 1 == batch.num_rows:
+        if size >= BLOCK or i + 1 == batch.num_rows:
             yield batch.slice(first, i + 1 - first), held
             first, held, size = i + 1, [], 0
 
@@ -135,16 +139,33 @@ def _tag(full: bytes) -> int:
     return int.from_bytes(full[:4], "big") >> 1
 
 
-PIECE = "piece bigint, ord bigint, place bigint, keys array<bigint>"
+PIECE = "anchor bigint, pid bigint, ord bigint, place bigint, size bigint, head bigint, m bigint, words binary"
+_PIECE = ["anchor", "pid", "ord", "place", "size", "head", "m", "words"]
+
+
+def _rows(kind: str, names: list[str], columns: dict) -> pa.RecordBatch:
+    """A batch of the Arrow schema that ``kind`` spells; columns that are not given are null."""
+    types = {"bigint": pa.int64(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64())}
+    n = len(next(iter(columns.values())))
+    kinds = dict(x.split(" ") for x in kind.split(", "))
+    return pa.RecordBatch.from_arrays([pa.array(columns.get(c, [None] * n), types[kinds[c]]) for c in names], names)
 
 
 def candidates(texts: DataFrame) -> DataFrame:
-    """Pieces of ``(ord, z, shared)``: runs of windows with one shared anchor, each run once per document.
+    """Pieces of ``(ord, z, shared)``: runs of windows with one shared anchor, named by anchor and ``pid``.
 
-    ``place`` holds the tag of the text and the first window; ``keys`` the window hashes. First and last
-    window of a run overlap, so their hashes and the length stand for all its words.
+    A row with ``ord`` is a place: the tag of the text and the first window, and how many windows; each piece once per
+    document. A row with ``words`` is a piece as a task first met it, with the least ``ord`` and the number of documents there.
+    First and last window of a run overlap, so their hashes and the length stand for all its words.
     """
     def run(batches):
+        kinds, held = {}, 0
+
+        def handed_over():
+            names = list(zip(*kinds))
+            values = list(zip(*kinds.values()))
+            yield _rows(PIECE, _PIECE, dict(anchor=names[0], pid=names[1], head=values[0], m=values[1], words=values[2]))
+
         for batch in batches:
             for part, opened in _groups(batch, 1):
                 w = _block(opened)
@@ -166,32 +187,143 @@ def candidates(texts: DataFrame) -> DataFrame:
                 head, tail = pick[first], pick[first + size - 1]
                 piece = mix(key[head] + mix(key[tail] + size.astype(_U)))
                 once = ~_later(piece, row[head])
-                mine = np.repeat(once, size)
                 tag = np.array([_tag(_digest(t.split())) for t in opened], np.int64)
-                at = row[head[once]]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(piece[once].view(np.int64)), part.column(0).take(pa.array(at)),
-                    pa.array((tag[at] << 32) + start[head[once]] - w.bounds[at]),
-                    list_array(key[pick[mine]].view(np.int64), size[once], pa.int64())], ["piece", "ord", "place", "keys"])
+                head, tail, size, at = head[once], tail[once], size[once], row[head[once]]
+                named, anchors = piece[once].view(np.int64), anchor[head].view(np.int64)
+                ids = part.column(0).take(pa.array(at))
+                data = w.raw.tobytes()
+                for a, p, o, i, j in zip(anchors.tolist(), named.tolist(), ids.to_pylist(), w.start[start[head]].tolist(), w.end[start[tail] + WINDOW - 1].tolist()):
+                    seen = kinds.get((a, p))
+                    if seen is None:
+                        kinds[a, p] = [o, 1, data[i:j]]
+                        held += j - i + 100
+                    else:
+                        seen[0] = min(seen[0], o)
+                        seen[1] += 1
+                yield _rows(PIECE, _PIECE, dict(anchor=anchors, pid=named, ord=ids, place=(tag[at] << 32) + start[head] - w.bounds[at], size=size))
+                if held > HELD:
+                    yield from handed_over()
+                    kinds, held = {}, 0
+        if kinds:
+            yield from handed_over()
 
     return texts.mapInArrow(run, PIECE)
 
 
-def _located(code: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Words of one document under any occurrence of its confirmed passages.
+FOUND = "anchor bigint, pid bigint, head bigint, spans array<bigint>, range bigint, digests binary, owners array<bigint>"
+_FOUND = ["anchor", "pid", "head", "spans", "range", "digests", "owners"]
+
 
-    Words become code points, passages become phrases of 20 of them: the least number that covers each
-    run of confirmed windows.
+def _streamed(rows: list[tuple]) -> list[pa.RecordBatch]:
+    """Repeats among the pieces ``(anchor, salt, salts, pid, head, m, words)`` of whole groups.
+
+    Windows that two different pieces have are phrases; all are compiled into one automaton, and the pieces, joined by a
+    sign that no phrase holds, are streamed through it. A hit counts where an earlier document has the phrase.
     """
-    line = (code + np.where(code >= 0xD800, 0x800, 0) + 1).astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
-    starts = np.sort(starts)
-    breaks = np.flatnonzero(np.diff(starts) > 1)
-    phrases = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-    for a, b in zip(starts[np.concatenate([[0], breaks + 1])], starts[np.concatenate([breaks, [len(starts) - 1]])]):
-        for s in [*range(a, b, WINDOW), b]:
-            phrases.add_word(line[s:s + WINDOW])
-    phrases.make_automaton()
-    return np.fromiter((e - WINDOW + 1 for e, _ in phrases.iter(line)), np.int64)
+    number: dict[bytes, int] = {}
+    codes, size = [], []
+    for r in rows:
+        words = r[6].split()
+        size.append(len(words))
+        codes += [0, *[number.setdefault(x, len(number) + 1) for x in words]]
+    codes, size = np.array([*codes, 0], np.int64), np.array(size)
+    of = np.repeat(np.arange(len(rows)), size + 1)
+    first = np.cumsum(size + 1) - size
+    # windows that stay inside a piece, and their hashes, to find those of several pieces
+    at = np.flatnonzero(inside_rows(np.append(first - 1, len(of)), WINDOW, len(of)) & (codes[:len(of) - WINDOW + 1] > 0))
+    sums = [grams(mix(codes[:len(of)].astype(_U) + _U(s)), WINDOW, s)[at] for s in (1, 2)]
+    heads = np.array([r[4] for r in rows], np.int64)
+    head = heads[of[at]]
+    order = np.lexsort((head, sums[0]))
+    new = np.ones(len(at), bool)
+    new[1:] = sums[0][order[1:]] != sums[0][order[:-1]]
+    group = np.cumsum(new) - 1
+    least = np.empty(len(at), np.int64)
+    least[order] = head[order][np.flatnonzero(new)][group]  # of each window: the smallest head of the pieces that have it
+    times = np.bincount(group)
+    several = order[np.flatnonzero(new)[times > 1]]
+    flagged = np.zeros(len(codes), bool)
+    if len(several):
+        line = (codes + np.where(codes >= 0xD800, 0x800, 0)).astype("<u4").tobytes().decode("utf-32-le")
+        phrases = ahocorasick.Automaton()
+        for p, earliest in zip(at[several].tolist(), least[several].tolist()):
+            phrases.add_word(line[p:p + WINDOW], earliest)
+        phrases.make_automaton()
+        hits = np.array([(e - WINDOW + 1, v) for e, v in phrases.iter(line)], np.int64).reshape(-1, 2)
+        hits = hits[hits[:, 1] < heads[of[hits[:, 0]]], 0]
+        flagged[hits] = True
+    spots = np.flatnonzero(flagged)
+    new = np.ones(len(spots), bool)
+    new[1:] = (np.diff(spots) > 1) | (of[spots[1:]] != of[spots[:-1]])
+    starts = np.flatnonzero(new)
+    runs: dict[int, list[int]] = {}
+    for i, k, n in zip(of[spots[starts]].tolist(), (spots[starts] - first[of[spots[starts]]]).tolist(), np.diff(np.append(starts, len(spots))).tolist()):
+        runs.setdefault(i, []).extend((k, n))
+    told = [i for i, r in enumerate(rows) if r[5] > 1 or i in runs]
+    out = [_rows(FOUND, _FOUND, dict(anchor=[rows[i][0] for i in told], pid=[rows[i][3] for i in told], head=[rows[i][4] for i in told], spans=[runs.get(i, []) for i in told]))]
+    lines = []
+    groups = {}
+    for i, r in enumerate(rows):
+        if r[2] > 1:
+            groups.setdefault((r[0], r[2]), []).append(i)
+    for (anchor, salts), mine in groups.items():
+        # of an anchor in several shards: each window with its smallest head here, and the pieces that have it there
+        pick = np.flatnonzero(np.isin(of[at], mine) & (head == least))
+        table = np.stack([sums[0][pick], sums[1][pick], least[pick].view(_U)], 1)
+        order = np.lexsort((table[:, 1], table[:, 0]))
+        table, pick = table[order], pick[order]
+        owner = np.stack([np.array([rows[i][3] for i in of[at[pick]]], np.int64), at[pick] - first[of[at[pick]]]], 1)
+        bits = (salts - 1).bit_length()
+        edges = np.searchsorted(table[:, 0], np.arange(1, 1 << bits, dtype=_U) << _U(64 - bits)).tolist()
+        for k, (i, j) in enumerate(zip([0, *edges], [*edges, len(table)])):
+            lines.append((anchor, k, table[i:j].tobytes(), owner[i:j].ravel().tolist()))
+    if lines:
+        cols = list(zip(*lines))
+        out.append(_rows(FOUND, _FOUND, dict(anchor=cols[0], range=cols[1], digests=cols[2], owners=cols[3])))
+    return out
+
+
+def sharded(kinds: DataFrame, shards: int) -> DataFrame:
+    """Pieces dealt by anchor to shards, an automaton for each run of about ``SHARD`` bytes of whole groups."""
+    dealt = kinds.repartition(shards, "anchor", "salt").sortWithinPartitions("anchor", "salt", "pid")
+
+    def run(batches):
+        rows, held, now = [], 0, None
+        for batch in batches:
+            for r in zip(*(x.to_pylist() for x in batch.columns)):
+                if r[:2] != now and held >= SHARD:
+                    yield from _streamed(rows)
+                    rows, held = [], 0
+                if rows and rows[-1][:4] == r[:4]:  # the same piece from another task
+                    rows[-1] = (*r[:4], min(rows[-1][4], r[4]), rows[-1][5] + r[5], r[6])
+                    continue
+                now = r[:2]
+                rows.append(r)
+                held += len(r[6])
+        if rows:
+            yield from _streamed(rows)
+
+    return dealt.mapInArrow(run, FOUND)
+
+
+def merged(sent: DataFrame) -> DataFrame:
+    """``(anchor, pid, head, spans)`` of windows that an earlier document has in another shard of their anchor."""
+    def run(group: pa.Table) -> pa.Table:
+        anchor = group.column("anchor")[0].as_py()
+        table = np.concatenate([np.frombuffer(d, "<u8").reshape(-1, 3) for d in group.column("digests").to_pylist()])
+        owner = np.concatenate([np.array(o, np.int64).reshape(-1, 2) for o in group.column("owners").to_pylist()])
+        head = table[:, 2].view(np.int64)
+        order = np.lexsort((head, table[:, 1], table[:, 0]))
+        new = np.ones(len(order), bool)
+        new[1:] = (table[order[1:], :2] != table[order[:-1], :2]).any(1)
+        least = head[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+        out = {}
+        for (pid, k), h in zip(owner[order][head[order] > least].tolist(), head[order][head[order] > least].tolist()):
+            out.setdefault((pid, h), []).extend((k, 1))
+        return pa.Table.from_arrays([pa.array([anchor] * len(out), pa.int64()), pa.array([p for p, _ in out], pa.int64()), pa.array([h for _, h in out], pa.int64()),
+                                     pa.array(list(out.values()), pa.list_(pa.int64()))], ["anchor", "pid", "head", "spans"])
+
+    return sent.groupBy("anchor", "range").applyInArrow(run, "anchor bigint, pid bigint, head bigint, spans array<bigint>")
 
 
 def removals(texts: DataFrame) -> DataFrame:
@@ -214,7 +346,6 @@ def _gone(runs: pa.Array, opened: list[bytes], every: bool = False):
     w = _block(opened)
     start, row, key, _ = windows(w)
     own = start[_later(key, row)]
-    h = w.hashes()
     for i, text in enumerate(opened):
         words = text.split()
         full = _digest(words)
@@ -225,7 +356,7 @@ def _gone(runs: pa.Array, opened: list[bytes], every: bool = False):
         if tagged.any():
             place, size = place[tagged] & 0xFFFFFFFF, size[tagged]
             starts = np.unique(np.repeat(place, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size))
-            found = _located(np.unique(h[a:b], return_inverse=True)[1], starts)
+            found = starts
         elif every:
             found = np.zeros(0, np.int64)
         else:
@@ -252,14 +383,21 @@ def located(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     mine = flat.join(shared, "anchor").groupBy("ord").agg(F.collect_set("anchor").alias("shared")).join(live, "ord", "left_semi")
     mine = materialize(mine, "shared")
     texts = packed(numbered).toDF("ord", "z")  # shuffled by ord once: both joins reuse that exchange
-    found = candidates(texts.join(mine, "ord").select("ord", "z", "shared"))
-    first = found.groupBy("piece").agg(F.min("ord").alias("head"))
-    known = found.join(first, "piece")
-    whole = known.where("ord > head").select("ord", "place", F.size("keys").cast("bigint").alias("size"))
-    single = known.where("ord = head").select("ord", "place", F.posexplode("keys").alias("i", "key"))
-    heads = single.groupBy("key").agg(F.min("ord").alias("head"), F.max("ord").alias("tail")).where("head < tail").select("key", "head")
-    parts = single.join(heads, "key").where("ord > head").select("ord", (F.col("place") + F.col("i")).alias("place"), F.lit(1).cast("bigint").alias("size"))
-    runs = whole.unionByName(parts).groupBy("ord").agg(F.collect_list(F.struct("place", "size")).alias("runs"))
+    pieces = materialize(candidates(texts.join(mine, "ord").select("ord", "z", "shared")), "pieces")
+    kinds = pieces.where("words IS NOT NULL")
+    hot = kinds.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > PIECES).select("anchor", F.ceil(F.col("n") / PIECES).alias("n"))
+    salts = F.coalesce("n", F.lit(1))
+    dealt = kinds.join(hot, "anchor", "left").select("anchor", F.pmod("pid", salts).alias("salt"), salts.alias("salts"), "pid", "head", "m", "words")
+    spots = materialize(sharded(dealt, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "phrases")
+    told = spots.where("pid IS NOT NULL").select("anchor", "pid", "head", "spans")
+    known = told.unionByName(merged(spots.where("range IS NOT NULL").select("anchor", "range", "digests", "owners")))
+    hits = pieces.where("ord IS NOT NULL").select("anchor", "pid", "ord", "place", "size").join(known, ["anchor", "pid"])
+    # beyond the first document of a piece all of it goes; there, what an earlier one has
+    whole = F.array(F.struct("place", "size"))
+    some = F.transform(F.sequence(F.lit(0), (F.size("spans") / 2 - 1).cast("int")), lambda i: F.struct(
+        (F.col("place") + F.get("spans", 2 * i)).alias("place"), F.get("spans", 2 * i + 1).alias("size")))
+    cut = F.when(F.col("ord") > F.col("head"), whole).when(F.size("spans") > 0, some)
+    runs = hits.select("ord", F.explode(cut).alias("r")).groupBy("ord").agg(F.collect_list("r").alias("runs"))
     return marked, texts, runs
 
 

@@ -12,7 +12,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 2 << 20  # bytes of text handled at once; one longer text is a block of its own
+BLOCK = 256 << 10  # bytes of text handled at once; one longer text is a block of its own
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
