@@ -220,18 +220,17 @@ def _streamed(rows: list[tuple]) -> list[pa.RecordBatch]:
     Windows that two different pieces have are phrases; all are compiled into one automaton, and the pieces, joined by a
     sign that no phrase holds, are streamed through it. A hit counts where an earlier document has the phrase.
     """
-    number: dict[bytes, int] = {}
-    codes, size = [], []
-    for r in rows:
-        words = r[6].split()
-        size.append(len(words))
-        codes += [0, *[number.setdefault(x, len(number) + 1) for x in words]]
-    codes, size = np.array([*codes, 0], np.int64), np.array(size)
+    w = _block([r[6] for r in rows])
+    h = w.hashes()
+    size = np.diff(w.bounds)
+    place = np.arange(len(h)) + w.row + 1  # a sign of its own stands before each piece
+    codes, hashes = np.zeros(len(h) + len(rows) + 1, np.int64), np.zeros(len(h) + len(rows) + 1, _U)
+    codes[place], hashes[place] = np.unique(h, return_inverse=True)[1] + 1, h
     of = np.repeat(np.arange(len(rows)), size + 1)
     first = np.cumsum(size + 1) - size
     # windows that stay inside a piece, and their hashes, to find those of several pieces
     at = np.flatnonzero(inside_rows(np.append(first - 1, len(of)), WINDOW, len(of)) & (codes[:len(of) - WINDOW + 1] > 0))
-    sums = [grams(mix(codes[:len(of)].astype(_U) + _U(s)), WINDOW, s)[at] for s in (1, 2)]
+    sums = [grams(mix(hashes[:len(of)] + _U(s)), WINDOW, s)[at] for s in (1, 2)]
     heads = np.array([r[4] for r in rows], np.int64)
     head = heads[of[at]]
     order = np.lexsort((head, sums[0]))
