@@ -30,7 +30,7 @@ def build_session(app: str = "panelwright", cores: str = "*", **conf) -> SparkSe
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """Shared folder for intermediate tables: ``spark.checkpoint.dir`` of the session.
+    """Shared folder for intermediate tables, with its file system: ``spark.checkpoint.dir`` of the session.
 
     Only a local master may fall back to a fresh temporary folder; on a cluster a
     machine-local folder would vanish with its executor, so an unset value is an error.
@@ -40,10 +40,12 @@ def scratch_dir(spark: SparkSession) -> str:
         default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:"
         if "://" not in configured and default.startswith("file:") and not spark.sparkContext.master.startswith("local"):
             raise RuntimeError(f"spark.checkpoint.dir {configured!r} names no file system that executors share")
-        return configured
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(configured)
+        full = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+        return full.replace("file:/", "file:///", 1) if full.startswith("file:/") and not full.startswith("file://") else full
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    made = os.path.join(tempfile.mkdtemp(prefix="run-", dir="/tmp"), "scratch")
+    made = "file://" + os.path.join(tempfile.mkdtemp(prefix="run-", dir="/tmp"), "scratch")
     spark.conf.set("spark.checkpoint.dir", made)
     return made
 
@@ -57,4 +59,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of :func:`materialize` that nothing will read again; other frames are left alone."""
+    for df in tables:
+        where = getattr(df, "scratch_path", None)
+        if where:
+            spark = df.sparkSession
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
