@@ -8,7 +8,8 @@ into blocks; each block of rows meets each block of its queries in a task of its
 
 Hashing sees directions and the reranking sees distances; for vectors of unequal length probes follow
 the axes of the direction. The number of tables and probes is fixed by the recall measured against brute
-force (see the README), and does not depend on the number of rows.
+force (see the README), and does not depend on the number of rows. A query whose tables give under ``FEW`` different
+rows, as in a small table, is compared with all rows in blocks, which is exact.
 
 Defined results: vectors that are null, zero, of another length than most, or hold null or non-finite
 components take no part; a null id takes no part; equal rows are candidates each; of equal distances the
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -28,6 +30,7 @@ from panelwright.session import materialize
 
 TABLES, PROBES = 8, 12
 TOP = 10
+FEW = 100  # a query whose tables give fewer different rows is compared with all rows, in blocks
 PART_ROWS = 20_000  # rows, and queries, of a bucket that one task holds
 CELLS = 1 << 20  # more than the signed axes of any vector
 BLOCK = 64  # queries reranked at once
@@ -85,6 +88,37 @@ def placed(rows: DataFrame, tables: int, probes: int) -> DataFrame:
     return rows.mapInPandas(run, "id bigint, v array<double>, cell int")
 
 
+def compared(rows: DataFrame, asked: DataFrame, top: int) -> DataFrame:
+    """``(query_id, id, score)``: the ``top`` nearest of each block of ``rows`` to each of ``asked``, both ``(id, v)``; every block of
+    queries meets every block of rows."""
+    def blocked(size: int):
+        def run(batches):
+            for batch in batches:
+                for low in range(0, batch.num_rows, size):
+                    part = batch.slice(low, size)
+                    yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_numpy().astype("<i8").tobytes()], pa.binary()),
+                                                      pa.array([part.column(1).flatten().to_numpy().astype("<f8").tobytes()], pa.binary())], ["ids", "x"])
+        return run
+
+    left = rows.mapInArrow(blocked(2048), "ids binary, x binary")
+    right = asked.mapInArrow(blocked(256), "ids binary, x binary").toDF("q_ids", "q")
+
+    def run(batches):
+        for batch in batches:
+            for ids, x, q_ids, q in zip(*(c.to_pylist() for c in batch.columns)):
+                ids, q_ids = np.frombuffer(ids, "<i8"), np.frombuffer(q_ids, "<i8")
+                x, q = np.frombuffer(x, "<f8").reshape(len(ids), -1), np.frombuffer(q, "<f8").reshape(len(q_ids), -1)
+                out = []
+                for i, one in zip(q_ids, q):
+                    d = np.sqrt(((x - one) ** 2).sum(1))
+                    keep = np.lexsort((ids, d))
+                    keep = keep[ids[keep] != i][:top]
+                    out.append((np.full(len(keep), i), ids[keep], d[keep]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["query_id", "id", "score"])
+
+    return left.crossJoin(right).mapInArrow(run, "query_id bigint, id bigint, score double")
+
+
 def nearest(rows: DataFrame, queries: DataFrame, *, key: str, vector: str, top: int = TOP, tables: int = TABLES,
             probes: int = PROBES) -> DataFrame:
     """``(query_id, rank, id, score)``: the ``top`` rows found nearest to each query, itself left out."""
@@ -129,7 +163,13 @@ def nearest(rows: DataFrame, queries: DataFrame, *, key: str, vector: str, top:
     found = left.groupBy("cell", "part", "turn").cogroup(right.groupBy("cell", "part", "turn")).applyInPandas(
         rerank, "query_id bigint, id bigint, score double")
     # a row found through several tables counts once; equal rows of one id count once each only where they differ in distance
-    best = found.distinct()
+    best = materialize(found.distinct(), "found")
+    every_row, asked_rows = valid(rows, key=key, vector=vector), valid(queries, key=key, vector=vector)
+    seen = best.groupBy("query_id").agg(F.countDistinct("id").alias("m"))
+    short = asked_rows.join(seen, asked_rows["id"] == F.col("query_id"), "left").where(F.coalesce("m", F.lit(0)) < FEW).select("id", "v")
+    short = materialize(short, "short")
+    if short.limit(1).count():
+        best = best.unionByName(compared(every_row, short, top)).distinct()
     place = F.row_number().over(W.partitionBy("query_id").orderBy("score", "id"))
     return best.withColumn("rank", place).where(F.col("rank") <= top).select("query_id", "rank", "id", "score")
 

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelwright.llm.common import query, table
+from panelwright.llm.common import free_name, query, table
 from panelwright.llm.components import components
 from panelwright.llm.words import Words, blocks, grams, inside_rows, list_array, mix
 from panelwright.session import materialize
@@ -78,7 +78,7 @@ def _collections(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np
 
 
 SIGNS = [f"s{i}" for i in range(2 * FAMILY * ROWS // 16)]
-SKETCH = "doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, a array<bigint>, b array<bigint>, " + ", ".join(
+SKETCH = "doc_id bigint, tag bigint, n_shingles bigint, k1 bigint, k2 bigint, a array<bigint>, b array<bigint>, " + ", ".join(
     f"{c} bigint" for c in SIGNS)
 
 
@@ -94,7 +94,7 @@ def alike(x: str, y: str) -> Column:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """Set size, set key and collection keys of each ``(doc_id, text)`` row."""
+    """Set size, set key and collection keys of each ``(doc_id, text, tag)`` row."""
     def run(batches):
         for batch in batches:
             for first, end, raw, at in blocks(batch.column(1)):
@@ -111,10 +111,10 @@ def sketches(docs: DataFrame) -> DataFrame:
                     a, b = keys[:, :FAMILY], keys[:, FAMILY:]
                 per = np.where(some, FAMILY, 0)
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(first, n), pa.array(counts, pa.int64()), pa.array(k1.view(np.int64)),
+                    batch.column(0).slice(first, n), batch.column(2).slice(first, n), pa.array(counts, pa.int64()), pa.array(k1.view(np.int64)),
                     pa.array(k2.view(np.int64)), list_array(a.ravel().view(np.int64), per, pa.int64()),
                     list_array(b.ravel().view(np.int64), per, pa.int64()), *[pa.array(c.view(np.int64)) for c in np.ascontiguousarray(signs.T)],
-                ], ["doc_id", "n_shingles", "k1", "k2", "a", "b", *SIGNS])
+                ], ["doc_id", "tag", "n_shingles", "k1", "k2", "a", "b", *SIGNS])
 
     return docs.mapInArrow(run, SKETCH)
 
@@ -220,8 +220,9 @@ def _buckets(reps: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """``(doc_id, n_shingles, component_id)`` for every row of ``(doc_id, text)``."""
+    """``(doc_id, tag, n_shingles, component_id)`` for every row of ``(doc_id, text)``; ``tag`` is a hash of the text."""
     docs = docs.select(F.col(docs.columns[0]).cast("bigint").alias("doc_id"), F.col(docs.columns[1]).alias("text"))
+    docs = docs.withColumn("tag", text_tag(F.col("text")))
     sketch = materialize(sketches(docs), "sketches")
     sets = sketch.where("n_shingles > 0 AND doc_id IS NOT NULL")
     equal = sets.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("m")).where("m > 1").select(
@@ -285,7 +286,7 @@ def classes(docs: DataFrame) -> DataFrame:
     final = labels.join(higher.toDF("root", "top"), "root", "left").select("node", F.coalesce("top", "root").alias("root")).unionByName(
         higher.join(labels, higher["node"] == labels["node"], "left_anti").select("node", "root"))
     return ranked.join(final, ranked["rep"] == final["node"], "left").select(
-        "doc_id", "n_shingles", F.coalesce("root", "rep").alias("component_id"))
+        "doc_id", "tag", "n_shingles", F.coalesce("root", "rep").alias("component_id"))
 
 
 def mark(docs: DataFrame) -> DataFrame:
@@ -293,16 +294,30 @@ def mark(docs: DataFrame) -> DataFrame:
     return classes(docs).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def text_tag(text: Column) -> Column:
+    """64-bit hash that tells texts of one id apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def drop_near_copies(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows of ``docs`` whose document stays; of wholly equal rows one stays."""
+    """Rows of ``docs`` whose document stays. A document is an id with a text: rows of one id and different texts
+    are judged apart, and of rows with the same id and text one stays. Rows without an id stay."""
     marked = materialize(mark(docs.select(key, text)), "marked")
-    gone = marked.where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
-    left = docs.join(gone, docs[f"`{key}`"] == F.col("__gone"), "left_anti")
-    if marked.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        left = left.dropDuplicates()
-    return left
+    tag = free_name(docs, "tag")
+    tagged = docs.withColumn(tag, text_tag(F.col(f"`{text}`")))
+
+    def listed(rows: DataFrame) -> DataFrame:
+        return rows.select(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag")).distinct()
+
+    same = (F.col(f"`{key}`") == F.col("__id")) & (F.col(f"`{tag}`") == F.col("__tag"))
+    left = tagged.join(listed(marked.where("NOT kept")), same, "left_anti")
+    twice = marked.where("kept AND doc_id IS NOT NULL").groupBy("doc_id", "tag").agg(F.count("*").alias("m")).where("m > 1")
+    if twice.limit(1).count():  # only the repeated rows are sorted out
+        again = materialize(listed(twice), "twice")
+        left = left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates([key, tag]))
+    return left.drop(tag)
 
 
 @query("op2_minhash_tensored")
 def op2_minhash_tensored(spark, sf_dir):
-    return mark(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return mark(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("tag")

@@ -13,6 +13,7 @@ an id are packed each; an empty table gives an empty result; other columns take
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from functools import lru_cache
@@ -44,6 +45,24 @@ def _encoder(path: str):
     return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=ADDED)
 
 
+_BLANKS = re.compile(r"\s{50000}")
+
+
+@lru_cache(maxsize=1)
+def _plain_encoder(path: str):
+    """The vocabulary's own ``tokenizers`` file."""
+    import tokenizers
+
+    return tokenizers.Tokenizer.from_file(path)
+
+
+def _ids(text: str, path: str, plain: str) -> np.ndarray:
+    """Ids of a text. Blanks in long runs exceed the rank encoder's stack; such texts go to the slower one, which gives the same ids."""
+    if len(text) >= 50000 and _BLANKS.search(text):
+        return np.array(_plain_encoder(plain).encode(text, add_special_tokens=False).ids, np.uint32)
+    return _encoder(path).encode_to_numpy(text, allowed_special="all")
+
+
 def pieces(docs: DataFrame, *, capacity: int = CAPACITY, end_id: int = END_ID, vocab: str | None = None,
            with_ids: bool = False) -> DataFrame:
     """One row per piece of ``(doc_id, text)``: place, length, checksum, and the ids if asked for.
@@ -51,16 +70,16 @@ def pieces(docs: DataFrame, *, capacity: int = CAPACITY, end_id: int = END_ID, v
     A longer document is cut so that all pieces but the first are full.
     """
     path = vocab or vocabulary("byte_bpe_50k.tiktoken")
+    plain = vocabulary("byte_bpe_50k.json") if vocab is None else vocab.removesuffix(".tiktoken") + ".json"
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
 
     def run(batches):
-        encoder = _encoder(path)
         for batch in batches:
             for low in range(0, batch.num_rows, 1000):
                 part = batch.slice(low, 1000)
                 owner, made = [], [[] for _ in names[1:]]
                 for i, text in enumerate(part.column(1).to_pylist()):
-                    ids = np.append(encoder.encode_to_numpy(text or "", allowed_special="all"), end_id).astype("<u4")
+                    ids = np.append(_ids(text or "", path, plain), end_id).astype("<u4")
                     start, stop = 0, len(ids) % capacity or min(len(ids), capacity)
                     while start < len(ids):
                         cut = ids[start:stop]

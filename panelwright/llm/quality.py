@@ -30,6 +30,7 @@ MIN_WORDS = 10
 REPEAT_WINDOW, REPEAT_PERCENT = 5, 20
 SYMBOLS = "#*$%&|<>"
 BAND_WIDTH = 4.0  # robust standard deviations from the median; the narrowest half step that rejects under 1 % of labelled good texts (README)
+LANGUAGES = 100_000  # bands of so many languages at most are broadcast
 BAND_MIN_TOKENS = 64  # shorter texts measure too loosely to be banded
 FALLBACK_LIMIT = 0.5  # byte-fallback share at which a text too short for the bands fails, unless its language's band reaches higher
 STEPS = 400  # histogram bins per unit of a measure
@@ -160,7 +161,7 @@ def judge(df: DataFrame, *, text: str = "text", language: str = "lang", vocab: s
     """``df`` (or its ``carry`` columns, the language among them) with ``name`` (measures), ``name_base_failed`` and ``name_kept``.
 
     The measures are written once and read twice, so texts are tokenised once. The band table has one
-    row per language and is joined without a hint.
+    row per language; its rows are counted, and up to ``LANGUAGES`` of them are broadcast.
     """
     measured = materialize(measure(df, text=text, vocab=vocab, name=name, carry=carry), "quality")
     limits = bands(measured, language=language, name=name)
@@ -172,6 +173,9 @@ def judge(df: DataFrame, *, text: str = "text", language: str = "lang", vocab: s
     short = m["fallback_share"] <= F.greatest(F.lit(FALLBACK_LIMIT), F.col("high_fallback_share"))
     loose = F.when(m["n_tokens"] < BAND_MIN_TOKENS, short).otherwise(inside)  # a longer text's language has bands
     key = free_name(measured, "band_key")
+    limits = materialize(limits, "bands")
+    if limits.count() <= LANGUAGES:  # texts stay where they are; beyond that Spark chooses the join
+        limits = F.broadcast(limits)
     joined = measured.withColumn(key, F.coalesce(F.col(language), F.lit("und"))).join(
         limits, F.col(key) == F.col("band_lang"), "left")
     return joined.select(*[measured[f"`{c}`"] for c in measured.columns], base.alias(f"{name}_base_failed"),

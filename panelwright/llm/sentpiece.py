@@ -31,8 +31,8 @@ from panelwright.llm.common import query, table, vocabulary
 
 MARK = "▁"
 BLOCK_CHARS = 4_000_000
-CACHE_WORDS = 400_000  # encoded words a worker keeps; beyond it the cache starts anew
-_CACHE: dict[tuple[str, bool], dict[str, tuple[int, ...]]] = {}
+CACHE_WORDS = 200_000  # encoded words of the younger half of a worker's cache; then it becomes the older half, whose words stay if they are met again
+_CACHE: dict[tuple[str, bool], list[dict[str, tuple[int, ...]]]] = {}
 _WORD = regex.compile(f"{MARK}+[^{MARK}]*+|[^{MARK}]++")
 
 
@@ -52,6 +52,8 @@ class Vocabulary:
                 self.bytes[int(piece[3:5], 16)] = i
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 self.id[piece], self.score[piece] = i, model.get_score(i)
+        raw = {i: bytes([b]) for b, i in self.bytes.items()}
+        self.raw = [raw[i] if i in raw else t.encode() for i, t in enumerate(self.text)]
         self.longest = max(map(len, self.id), default=0)
         if any(MARK in p.lstrip(MARK) for p in self.id):
             raise ValueError("a piece holds a mark inside; marked words can't be encoded one by one")
@@ -155,9 +157,7 @@ def marked(text: str) -> list[str]:
 
 def decode_ids(ids: list[int], v: Vocabulary) -> str:
     """Text of token ids: bytes are joined, marks become blanks, the leading blank goes."""
-    values = {i: b for b, i in v.bytes.items()}
-    raw = b"".join(bytes([values[i]]) if i in values else v.text[i].encode() for i in ids)
-    text = raw.decode(errors="replace").replace(MARK, " ")
+    text = b"".join(map(v.raw.__getitem__, ids)).decode(errors="replace").replace(MARK, " ")
     return text[1:] if text.startswith(" ") else text
 
 
@@ -166,7 +166,7 @@ def encode(docs: DataFrame, *, vocab: str | None = None, unigram: bool = False)
     path = vocab or vocabulary("piece_bpe_32k.model")
 
     def run(batches):
-        v, cache = load(path), _CACHE.setdefault((path, unigram), {})  # outlives the task where workers do
+        v, halves = load(path), _CACHE.setdefault((path, unigram), [{}, {}])  # outlives the task where workers do
         for batch in batches:
             texts, low = batch.column(1).to_pylist(), 0
             while low < len(texts):
@@ -175,11 +175,17 @@ def encode(docs: DataFrame, *, vocab: str | None = None, unigram: bool = False)
                     size += len(texts[high] or "")
                     high += 1
                 words = [marked(t or "") for t in texts[low:high]]
-                fresh = set().union(*words) - cache.keys()
-                if len(cache) + len(fresh) > CACHE_WORDS:
-                    cache.clear()
+                young, old = halves
+                fresh = set().union(*words) - young.keys()
+                met = fresh & old.keys()
+                if len(young) + len(fresh) > CACHE_WORDS:
+                    young, old = {}, {**{w: old[w] for w in met}, **young}
+                    halves[:] = young, old
+                    met = (fresh | set().union(*words)) & old.keys()
                     fresh = set().union(*words)
-                cache.update(encode_words(list(fresh), v, unigram=unigram))
+                young.update((w, old[w]) for w in met)
+                young.update(encode_words(list(fresh - met), v, unigram=unigram))
+                cache = young
                 lens, flat = [], []
                 for w in words:
                     before = len(flat)

@@ -24,7 +24,8 @@ from panelwright.llm.common import query, table
 from panelwright.session import materialize
 
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
-DAMPING, ROUNDS = 0.85, 12
+DAMPING = 0.85
+TOLERANCE = 1e-9  # rounds end when the masses change by no more in all
 SEED_SHARE = 0.5  # of a host's pages, what rules must settle for the host to be a seed
 MARGIN = 1.0
 _LINK = r"(?i)(?:href|src)\s*=\s*[\"']?([^\"'\s>]+)"
@@ -75,13 +76,17 @@ def propagate(links: DataFrame, seeds: DataFrame) -> DataFrame:
     state = seeds
     if flows.limit(1).count() == 0:
         return state
-    for _ in range(ROUNDS):
+    while True:  # the error falls by the damping factor a round, so this ends
         moved = state.join(flows, ["kind", "host"]).groupBy("kind", F.col("to").alias("host")).agg(
             F.sum(F.col("mass") * F.col("share") * DAMPING).alias("mass"))
         kept = moved.groupBy("kind").agg(F.sum("mass").alias("flowed"))  # two rows
         back = seeds.join(kept, "kind", "left").select("kind", "host", (F.col("mass") * (1 - F.coalesce("flowed", F.lit(0.0)))).alias("mass"))
-        state = materialize(moved.unionByName(back).groupBy("kind", "host").agg(F.round(F.sum("mass"), 15).alias("mass")), "mass")
-    return state
+        new = materialize(moved.unionByName(back).groupBy("kind", "host").agg(F.sum("mass").alias("mass")), "mass")
+        both = new.select("kind", "host", F.col("mass").alias("x")).unionByName(state.select("kind", "host", (-F.col("mass")).alias("x")))
+        change = both.groupBy("kind", "host").agg(F.abs(F.sum("x")).alias("x")).agg(F.sum("x")).first()[0]
+        state = new
+        if change <= TOLERANCE:
+            return state
 
 
 def judge(pages: DataFrame, *, rules: Sequence[tuple[str, str]] = RULES) -> DataFrame:

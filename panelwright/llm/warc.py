@@ -87,7 +87,7 @@ def write_archives(pages: DataFrame, *, least_bytes: int = 0) -> DataFrame:
     rows = decided(pages, least_bytes=least_bytes).withColumn("key", capture_key(F.col("url"), F.col("page_id")))
 
     def run(batches):
-        where, root = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        where, root = fs.FileSystem.from_uri(folder)
         where.create_dir(root, recursive=True)
         out = path = None
         at = 0
@@ -223,18 +223,22 @@ def read_ranges(found: DataFrame, *, payload: bool = False) -> DataFrame:
     kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
 
     def run(batches):
-        where, _ = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        where, _ = fs.FileSystem.from_uri(folder)
         path = source = None
         for batch in batches:
             rows = []
             for file, offset, length in zip(*[c.to_pylist() for c in batch.columns]):
                 if file != path:
+                    if source is not None:
+                        source.close()
                     path, source = file, where.open_input_file(file)
                 rows.append(_parse(source.read_at(length, offset)))
                 if len(rows) == 500:
                     yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], k) for n, k in zip(names, kinds)], names)
                     rows = []
             yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], k) for n, k in zip(names, kinds)], names)
+        if source is not None:
+            source.close()
 
     return found.select("file", "offset", "length").sortWithinPartitions("file", "offset").mapInArrow(
         run, ", ".join(RECORD.split(", ")[:len(names)]))

@@ -299,7 +299,7 @@ def test_link_graph_mass(spark):
         m = np.divide(m, total, out=np.zeros_like(m), where=total > 0)
         s = np.array([sum(w for k, h, w in seeds if k == kind and h == n) for n in names])
         x = s
-        for _ in range(urls.ROUNDS):
+        for _ in range(400):
             moved = urls.DAMPING * x @ m
             x = moved + s * (1 - moved.sum())
         mine = {r["host"]: r["mass"] for r in got if r["kind"] == kind}
