@@ -53,3 +53,17 @@ def compare(df: DataFrame, target: str, variables: Sequence[str]) -> DataFrame:
                         F.try_divide(c("missing", "mean") - c("observed", "mean"), spread).alias("t"))
 
     return once.select(F.explode(F.array(*[row(x) for x in variables])).alias("r")).select("r.*")
+
+
+def compare_counts(df: DataFrame, target: str, category: str) -> DataFrame:
+    """Chi-square of a category against whether ``target`` is missing: ``variable, chi2, df, p`` from the counts of the two-way table."""
+    from panelwright.functions.dist import p_chi2
+
+    cells = df.where(F.col(category).isNotNull()).groupBy(category).agg(F.count_if(F.col(target).isNull()).alias("gone"), F.count("*").alias("n"))
+    total = cells.agg(F.sum("gone").alias("all_gone"), F.sum("n").alias("all"), F.count("*").alias("k"))  # one row
+    wide = cells.crossJoin(F.broadcast(total))
+    want = F.col("n") * F.col("all_gone") / F.col("all")
+    apart = F.col("gone") - want
+    chi2 = F.sum(F.try_divide(apart * apart, want) + F.try_divide(apart * apart, F.col("n") - want))
+    out = wide.agg(chi2.alias("chi2"), (F.max("k") - 1).alias("df"))
+    return out.select(F.lit(category).alias("variable"), "chi2", "df", p_chi2("chi2", "df").alias("p"))

@@ -109,3 +109,21 @@ def gelman_rubin(df: DataFrame, chain: str, value: str) -> DataFrame:
     all_ = per.agg(F.avg("var").alias("w"), F.var_samp("mean").alias("b"), F.avg("n").alias("len"), F.count("*").alias("chains"))
     total = (F.col("len") - 1) / F.col("len") * F.col("w") + F.col("b")
     return all_.select("chains", F.sqrt(F.try_divide(total, F.col("w"))).alias("rhat"))
+
+
+def monte_carlo_error(draws: DataFrame, chain: str, value: str, position: str, size: int) -> DataFrame:
+    """Of each chain: batches of ``size`` draws in their order, and the error of their means over the deviation of the draws.
+
+    Chains of one batch or of equal draws are left out.
+    """
+    batches = draws.groupBy(chain, F.floor((F.col(position) - 1) / size).alias("batch")).agg(F.avg(value).alias("m"))
+    error = batches.groupBy(chain).agg(F.count("*").alias("batches"), F.sqrt(F.try_divide(F.var_samp("m"), F.count("*"))).alias("error")).where("batches > 1")
+    spread = draws.groupBy(chain).agg(F.stddev_samp(value).alias("sd")).where("sd > 0")
+    return error.join(spread, chain).select(chain, "batches", (F.col("error") / F.col("sd")).alias("ratio"))
+
+
+def densities(df: DataFrame, chain: str, value: str, width: float) -> DataFrame:
+    """Share of a chain's values in each bin of ``width``, over the width."""
+    cells = df.where(F.col(value).isNotNull()).groupBy(chain, F.floor(F.col(value) / width).alias("bin")).agg(F.count("*").alias("n"))
+    total = cells.groupBy(chain).agg(F.sum("n").alias("all"))
+    return cells.join(total, chain).select(chain, "bin", (F.col("n") / (F.col("all") * width)).alias("density"))

@@ -63,3 +63,19 @@ def query(name: str, sql: str | None = None, *, uses: str = "", keys: str = "",
         return fn
 
     return wrap
+
+
+def t_p_sql(t: str, df: str) -> str:
+    """DuckDB text of the two-sided p of Student's t for whole degrees of freedom, by its finite series."""
+    angle = f"atan(abs({t}) / sqrt({df}))"
+    odd = f"list_sum([exp(2 * k * ln(2) + 2 * lgamma(k + 1) - lgamma(2 * k + 2)) * pow(cos({angle}), 2 * k) for k in range(0, CAST(({df} - 1) // 2 AS BIGINT))])"
+    even = f"list_sum([exp(lgamma(2 * k + 1) - 2 * k * ln(2) - 2 * lgamma(k + 1)) * pow(cos({angle}), 2 * k) for k in range(0, CAST({df} // 2 AS BIGINT))])"
+    return (f"(1 - CASE WHEN {df} % 2 = 1 THEN 2 / pi() * ({angle} + sin({angle}) * cos({angle}) * coalesce({odd}, 0)) ELSE sin({angle}) * {even} END)")
+
+
+def determinant_sql(rows: list[list[str]]) -> str:
+    """Text of a small determinant, expanded along its first row."""
+    if len(rows) == 1:
+        return f"({rows[0][0]})"
+    parts = [f"{'-' if j % 2 else '+'} {rows[0][j]} * {determinant_sql([r[:j] + r[j + 1:] for r in rows[1:]])}" for j in range(len(rows))]
+    return "(" + " ".join(parts) + ")"

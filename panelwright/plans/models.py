@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from panelwright.functions.dist import p_t
+from panelwright.operators import factors as FA
 from panelwright.operators import models as L
 from panelwright.operators import sets
 from panelwright.operators import survey as S
 from panelwright.operators import values as V
 from panelwright.operators.windows import running_mean
-from panelwright.plans.common import query
+from panelwright.plans.common import determinant_sql, query, t_p_sql
 
 PVS, RWS = [f"pv{i}" for i in range(1, 6)], [f"rw{i}" for i in range(1, 5)]
 _MEAN = "(" + " + ".join(f"sum(w*{v})/sum(w)" for v in PVS) + ")/5"
@@ -98,17 +100,48 @@ def sc_kmo(it):
     return S.adequacy(_clean(it), _ITEMS).select("kmo")
 
 
-@query("sc_eigen", uses="it")
+# the three roots of the characteristic polynomial, by angles
+@query("sc_eigen", f"""SELECT CAST(k + 1 AS INT) AS factor, 1 + 2 * sqrt(q / 3) * cos(acos(a * b * c / pow(q / 3, 15e-1)) / 3 - 2 * pi() * k / 3) AS value
+ FROM (SELECT *, a*a + b*b + c*c AS q FROM {_R} t) u, (SELECT unnest([0, 1, 2]) AS k) w""", uses="it", keys="factor", floats="value")
 def sc_eigen(it):
     return S.eigenvalues(_clean(it), _ITEMS)
 
 
+_MANY = ["f118", "f120", "c001", "e033", "e143", "e224"]
+
+
+def _many(it):
+    return it.select("l_orderkey", "l_linenumber", *[V.missing_codes(F.col(c)).cast("double").alias(c) for c in _MANY])
+
+
+@query("sc_fa", uses="it", digits=3)
+def sc_fa(it):
+    return FA.loadings(it.sparkSession, FA.analyse(_many(it), _MANY, 2))
+
+
+@query("sc_fa_scores", uses="it", digits=3)
+def sc_fa_scores(it):
+    items = _many(it)
+    return FA.scores(items, FA.analyse(items, _MANY, 2)).select("l_orderkey", "l_linenumber", "score_1", "score_2")
+
+
+@query("sc_fa_table", uses="it", digits=3)
+def sc_fa_table(it):
+    return FA.loading_table(FA.loadings(it.sparkSession, FA.analyse(_many(it), _MANY, 2)), 2)
+
+
 # ---- linear models -------------------------------------------------------------------------
 
 
-@query("lm_ols", "SELECT '(Intercept)' AS term, regr_intercept(co2, gdp) AS estimate FROM pn UNION ALL SELECT 'gdp', regr_slope(co2, gdp) FROM pn", uses="pn", keys="term", floats="estimate")
+_SIMPLE = """(SELECT *, sqrt(rss / df / sxx) AS se1, sqrt(rss / df * (1e0 / n + mx * mx / sxx)) AS se0 FROM (SELECT count(*) AS n, count(*) - 2 AS df, regr_intercept(co2, gdp) AS b0, regr_slope(co2, gdp) AS b1, avg(gdp) AS mx, regr_sxx(co2, gdp) AS sxx,
+ regr_syy(co2, gdp) - pow(regr_sxy(co2, gdp), 2) / regr_sxx(co2, gdp) AS rss FROM pn) s)"""
+
+
+@query("lm_ols", f"SELECT term, estimate, se, t, {t_p_sql('t', 'df')} AS p FROM (SELECT '(Intercept)' AS term, b0 AS estimate, se0 AS se, b0 / se0 AS t, df FROM {_SIMPLE} a UNION ALL SELECT 'gdp', b1, se1, b1 / se1, df FROM {_SIMPLE} a) u",
+       uses="pn", keys="term", floats="estimate se t p")
 def lm_ols(pn):
-    return L.ols(pn, "co2", ["gdp"]).select("term", "estimate")
+    n = pn.dropna(subset=["co2", "gdp"]).agg((F.count("*") - 2).alias("df"))
+    return L.ols(pn, "co2", ["gdp"]).crossJoin(F.broadcast(n)).withColumn("p", p_t("t", "df")).drop("df")  # one row
 
 
 @query("lm_by_group", "SELECT country, regr_intercept(co2, time) AS intercept, regr_slope(co2, time) AS slope FROM pn GROUP BY country", uses="pn", keys="country", floats="intercept slope")
@@ -118,10 +151,10 @@ def lm_by_group(pn):
                                        F.max(F.when(F.col("term") != "time", F.col("estimate"))).alias("intercept"))
 
 
-@query("lm_vif", """SELECT unnest(['gdp', 'gini', 'sl_total']) AS term, unnest([(1 - c*c)/d, (1 - b*b)/d, (1 - a*a)/d]) AS vif FROM (SELECT *, 1 + 2*a*b*c - a*a - b*b - c*c AS d FROM
- (SELECT corr(gdp, gini) AS a, corr(gdp, sl_total) AS b, corr(gini, sl_total) AS c FROM pn WHERE gini IS NOT NULL) r) t""", uses="pn", keys="term", floats="vif")
+@query("lm_vif", """SELECT unnest(['gdp', 'gini', 'sl_total']) AS term, unnest([(1 - c*c)/d, (1 - b*b)/d, (1 - a*a)/d]) AS vif, unnest([d/(1 - c*c), d/(1 - b*b), d/(1 - a*a)]) AS tolerance FROM (SELECT *, 1 + 2*a*b*c - a*a - b*b - c*c AS d FROM
+ (SELECT corr(gdp, gini) AS a, corr(gdp, sl_total) AS b, corr(gini, sl_total) AS c FROM pn WHERE gini IS NOT NULL) r) t""", uses="pn", keys="term", floats="vif tolerance")
 def lm_vif(pn):
-    return L.vif(pn, ["gdp", "gini", "sl_total"]).select("term", "vif")
+    return L.vif(pn, ["gdp", "gini", "sl_total"])
 
 
 @query("lm_cond_index", uses="pn")
@@ -129,11 +162,22 @@ def lm_cond_index(pn):
     return L.condition_index(pn, ["gdp", "gini", "sl_total"])
 
 
-@query("lm_vif_compare", uses="pn")
+_SPECS = {"a": ["gdp", "gini"], "b": ["gdp", "gini", "sl_total"], "c": ["gdp", "gini", "sl_total", "time"]}
+
+
+def _vifs(name: str) -> str:
+    xs = _SPECS[name]
+    cells = [["1e0" if a == b else f"r_{min(a, b)}_{max(a, b)}" for b in xs] for a in xs]
+    whole = determinant_sql(cells)
+    minors = [determinant_sql([r[:i] + r[i + 1:] for k, r in enumerate(cells) if k != i]) for i in range(len(xs))]
+    sums = ", ".join(f"corr({a}, {b}) AS r_{a}_{b}" for a in xs for b in xs if a < b)
+    return f"(SELECT unnest([{', '.join(repr(x) for x in xs)}]) AS term, unnest([{', '.join(f'{m} / {whole}' for m in minors)}]) AS vif_{name} FROM (SELECT {sums} FROM pn WHERE gini IS NOT NULL) r)"
+
+
+@query("lm_vif_compare", f"SELECT c.term, vif_a, vif_b, vif_c FROM {_vifs('c')} c LEFT JOIN {_vifs('b')} b ON b.term = c.term LEFT JOIN {_vifs('a')} a ON a.term = c.term", uses="pn", keys="term", floats="vif_a vif_b vif_c")
 def lm_vif_compare(pn):
-    specs = {"a": ["gdp", "gini"], "b": ["gdp", "gini", "sl_total"], "c": ["gdp", "gini", "sl_total", "time"]}
     out = None
-    for name, xs in specs.items():
+    for name, xs in _SPECS.items():
         one = L.vif(pn, xs).select("term", F.col("vif").alias(f"vif_{name}"))
         out = one if out is None else out.join(one, "term", "full")
     return out
@@ -190,10 +234,10 @@ def mi_fit(mi):
     return L.ols(mi, "co2", ["gini"], ["imp"]).where("term = 'gini'").select("imp", "estimate", "se")
 
 
-@query("mi_pool", f"""SELECT estimate, se, estimate / se AS t, 19 * pow(1 + 1/riv, 2) AS dof, riv FROM (SELECT avg(b) AS estimate, sqrt(avg(se*se) + 105e-2 * var_samp(b)) AS se,
- 105e-2 * var_samp(b) / avg(se*se) AS riv FROM {_FIT} t) p""", uses="mi", floats="estimate se t riv", digits=3)
+@query("mi_pool", f"""SELECT estimate, se, estimate / se AS t, 19 * pow(1 + 1/riv, 2) AS dof, riv, (riv + 2 / (19 * pow(1 + 1/riv, 2) + 3)) / (riv + 1) AS fmi FROM (SELECT avg(b) AS estimate, sqrt(avg(se*se) + 105e-2 * var_samp(b)) AS se,
+ 105e-2 * var_samp(b) / avg(se*se) AS riv FROM {_FIT} t) p""", uses="mi", floats="estimate se t dof riv fmi", digits=3)
 def mi_pool(mi):
-    return L.pool(L.ols(mi, "co2", ["gini"], ["imp"]).where("term = 'gini'"), m=20).select("estimate", "se", "t", "riv")
+    return L.pool(L.ols(mi, "co2", ["gini"], ["imp"]).where("term = 'gini'"), m=20).drop("term")
 
 
 @query("mi_gr", """SELECT chains, sqrt(((len - 1) / len * w + b) / w) AS rhat FROM (SELECT count(*) AS chains, avg(v) AS w, var_samp(m) AS b, avg(n) AS len FROM
@@ -202,15 +246,26 @@ def mi_gr(ev):
     return L.gelman_rubin(ev, "user_id", "value")
 
 
-@query("mi_mcerror", "SELECT sqrt(var_samp(m) / count(*)) / (SELECT stddev_samp(value) FROM ev) AS ratio, count(*) AS batches FROM (SELECT user_id % 10 AS batch, avg(value) AS m FROM ev GROUP BY 1) t",
-       uses="ev", keys="batches", floats="ratio")
+_DRAWS = "(SELECT user_id, event_id, value, avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS so_far, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS draw FROM ev)"
+
+
+def _draws(ev):
+    return running_mean(ev, "value", ["user_id"], ["ts", "event_id"], name="so_far", position="draw")
+
+
+@query("mi_mcerror", f"""SELECT user_id, batches, error / sd AS ratio FROM (SELECT user_id, count(*) AS batches, sqrt(var_samp(m) / count(*)) AS error FROM (SELECT user_id, (draw - 1) // 5 AS batch, avg(value) AS m FROM {_DRAWS} d GROUP BY 1, 2) b GROUP BY user_id
+ HAVING count(*) > 1) e JOIN (SELECT user_id, stddev_samp(value) AS sd FROM ev GROUP BY user_id) s USING (user_id) WHERE sd > 0""", uses="ev", keys="user_id, batches", floats="ratio")
 def mi_mcerror(ev):
-    batches = ev.groupBy((F.col("user_id") % 10).alias("batch")).agg(F.avg("value").alias("m"))
-    error = batches.agg(F.sqrt(F.var_samp("m") / F.count("*")).alias("error"), F.count("*").alias("batches"))
-    return error.crossJoin(ev.agg(F.stddev_samp("value").alias("sd"))).select((F.col("error") / F.col("sd")).alias("ratio"), "batches")
+    return L.monte_carlo_error(_draws(ev), "user_id", "value", "draw", 5)
 
 
-@query("mi_trace", "SELECT event_id, avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS so_far, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS draw FROM ev",
-       uses="ev", keys="event_id, draw", floats="so_far")
+@query("mi_trace", f"SELECT event_id, so_far, draw FROM {_DRAWS} d WHERE draw % 3 = 1", uses="ev", keys="event_id, draw", floats="so_far")
 def mi_trace(ev):
-    return running_mean(ev, "value", ["user_id"], ["ts", "event_id"], name="so_far", position="draw").select("event_id", "so_far", "draw")
+    """Every third draw of a chain with the mean so far."""
+    return _draws(ev).where("draw % 3 = 1").select("event_id", "so_far", "draw")
+
+
+@query("mi_density", "SELECT user_id, CAST(floor(value / 20) AS BIGINT) AS bin, count(*) / (20e0 * sum(count(*)) OVER (PARTITION BY user_id)) AS density FROM ev WHERE value IS NOT NULL GROUP BY 1, 2", uses="ev", keys="user_id, bin", floats="density")
+def mi_density(ev):
+    """Density of a chain's draws in bins of one width."""
+    return L.densities(ev, "user_id", "value", 20.0)

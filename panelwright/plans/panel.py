@@ -9,7 +9,7 @@ from panelwright.operators import missing as M
 from panelwright.operators import moments as A
 from panelwright.operators import values as V
 from panelwright.operators.order import quantiles, with_rank_avg
-from panelwright.plans.common import query
+from panelwright.plans.common import query, t_p_sql
 from panelwright.sources.tables import inline
 
 _PN = dict(uses="pn", keys="country, year")
@@ -183,10 +183,11 @@ def agg_totals(pn):
 
 _PROFILE = " UNION ALL ".join(
     f"SELECT '{c}' AS variable, count({c}) / CAST(count(*) AS DOUBLE) AS complete_rate, avg({c}) AS mean, stddev_samp({c}) AS sd, min({c}) AS lo, "
-    f"median({c}) AS mid, max({c}) AS hi FROM pn" for c in ("co2", "gdp", "gini", "left_right"))
+    f"median({c}) AS mid, max({c}) AS hi, (SELECT concat_ws(',', " + ", ".join(f"count(*) FILTER ({{c}} IS NOT NULL AND least(floor((CAST({{c}} AS DOUBLE) - lo) / (hi - lo) * 8), 7) = {i})" for i in range(8)).replace("{c}", c)
+    + f") FROM pn, (SELECT CAST(min({c}) AS DOUBLE) AS lo, CAST(max({c}) AS DOUBLE) AS hi FROM pn) e) AS hist FROM pn" for c in ("co2", "gdp", "gini", "left_right"))
 
 
-@query("agg_summary", _PROFILE, uses="pn", keys="variable", floats="complete_rate mean sd lo mid hi")
+@query("agg_summary", _PROFILE, uses="pn", keys="variable, hist", floats="complete_rate mean sd lo mid hi")
 def agg_summary(pn):
     return A.profile(pn, ["co2", "gdp", "gini", "left_right"])
 
@@ -194,9 +195,10 @@ def agg_summary(pn):
 
 @query("agg_describe", " UNION ALL ".join(
     f"SELECT '{c}' AS variable, count({c}) AS n, avg({c}) AS mean, stddev_samp({c}) AS sd, (SELECT median(abs({c} - u.m)) * 1.4826e0 FROM pn, (SELECT median({c}) AS m FROM pn) u) AS mad, "
-    f"max({c}) - min({c}) AS span, (SELECT avg(pow(({c} - u.a) / u.s, 3)) FROM pn, (SELECT avg({c}) AS a, stddev_pop({c}) AS s FROM pn) u) AS skew, "
+    f"median({c}) AS median, (SELECT avg(v) FROM (SELECT CAST({c} AS DOUBLE) AS v, row_number() OVER (ORDER BY {c}) AS i, count(*) OVER () AS n FROM pn WHERE {c} IS NOT NULL) o WHERE i > floor(n * 1e-1) AND i <= n - floor(n * 1e-1)) AS trimmed, "
+    f"min({c}) AS lo, max({c}) AS hi, max({c}) - min({c}) AS span, (SELECT avg(pow(({c} - u.a) / u.s, 3)) FROM pn, (SELECT avg({c}) AS a, stddev_pop({c}) AS s FROM pn) u) AS skew, "
     f"(SELECT avg(pow(({c} - u.a) / u.s, 4)) - 3 FROM pn, (SELECT avg({c}) AS a, stddev_pop({c}) AS s FROM pn) u) AS kurtosis, stddev_samp({c}) / sqrt(count({c})) AS se FROM pn"
-    for c in ("co2", "gini")), uses="pn", keys="variable, n", floats="mean sd mad span skew kurtosis se")
+    for c in ("co2", "gini")), uses="pn", keys="variable, n", floats="mean sd median trimmed mad lo hi span skew kurtosis se")
 def agg_describe(pn):
     return A.describe(pn, ["co2", "gini"])
 
@@ -220,17 +222,19 @@ def agg_cor(pn):
 _PAIRS = [(a, b) for i, a in enumerate(("co2", "gdp", "gini", "sl_total")) for b in ("co2", "gdp", "gini", "sl_total")[i + 1:]]
 
 
-@query("agg_cor_matrix", " UNION ALL ".join(
+@query("agg_cor_matrix", "SELECT *, " + t_p_sql("t", "(n - 2)") + " AS p FROM (" + " UNION ALL ".join(
     f"SELECT '{a}' AS x, '{b}' AS y, n, r, r * sqrt((n - 2) / (1 - r * r)) AS t FROM (SELECT count(*) AS n, corr({a}, {b}) AS r FROM pn WHERE {a} IS NOT NULL AND {b} IS NOT NULL) t"
-    for a, b in _PAIRS), uses="pn", keys="x, y, n", floats="r t")
+    for a, b in _PAIRS) + ") u", uses="pn", keys="x, y, n", floats="r t p")
 def agg_cor_matrix(pn):
     return A.correlations(pn, ["co2", "gdp", "gini", "sl_total"])
 
 
-@query("agg_cor_by_group_avg", "SELECT avg(r) AS r FROM (SELECT year, corr(co2, gini) AS r FROM pn WHERE gini IS NOT NULL GROUP BY year HAVING count(*) > 2 AND var_pop(gini) > 0) t WHERE NOT isnan(r)",
-       uses="pn", floats="r")
+@query("agg_cor_by_group_avg", "SELECT x, y, avg(r) AS r, avg(p) AS p FROM (SELECT *, " + t_p_sql("t", "(n - 2)") + " AS p FROM (SELECT x, y, n, r, r * sqrt((n - 2) / (1 - r * r)) AS t FROM (" + " UNION ALL ".join(
+    f"SELECT year, '{a}' AS x, '{b}' AS y, count(*) AS n, corr({a}, {b}) AS r FROM pn WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY year HAVING count(*) > 2 AND var_pop({a}) > 0 AND var_pop({b}) > 0" for a, b in _PAIRS)
+    + ") c) d) e GROUP BY x, y", uses="pn", keys="x, y", floats="r p")
 def agg_cor_by_group_avg(pn):
-    return A.correlations(pn, ["co2", "gini"], by=["year"]).where("n > 2").agg(F.avg("r").alias("r"))
+    per = A.correlations(pn, ["co2", "gdp", "gini", "sl_total"], by=["year"]).where("n > 2")
+    return per.groupBy("x", "y").agg(F.avg("r").alias("r"), F.avg("p").alias("p"))
 
 
 @query("agg_nested_cor", "SELECT avg(r) AS r FROM pn JOIN (SELECT region, corr(co2, gdp) AS r FROM pn GROUP BY region) c USING (region)", uses="pn", floats="r")
@@ -418,6 +422,12 @@ def na_compare(pn):
     return M.compare(pn, "gini", ["co2", "gdp"])
 
 
+@query("na_compare_counts", """SELECT 'region' AS variable, chi2, df, exp(-chi2 / 2) * (1 + chi2 / 2) AS p FROM (SELECT sum(pow(gone - n * g / t, 2) / (n * g / t) + pow(gone - n * g / t, 2) / (n - n * g / t)) AS chi2, count(*) - 1 AS df FROM
+ (SELECT region, count(*) FILTER (gini IS NULL) AS gone, count(*) AS n, sum(count(*) FILTER (gini IS NULL)) OVER () AS g, CAST(sum(count(*)) OVER () AS DOUBLE) AS t FROM pn GROUP BY region) c) x""", uses="pn", keys="variable, df", floats="chi2 p")
+def na_compare_counts(pn):
+    return M.compare_counts(pn, "gini", "region")
+
+
 # ---- figures and texts ---------------------------------------------------------------------
 
 
@@ -432,6 +442,17 @@ def fig_scatter(pn):
     return pn.dropna(subset=["co2", "gini"]).select("country", "year", "oecd", "pop", "co2")
 
 
+_MEASURES = ("co2", "gdp", "gini")
+
+
+@query("fig_scatter_pairs", " UNION ALL ".join(f"SELECT country, year, '{a}' AS x_name, '{b}' AS y_name, {a} AS x, {b} AS y FROM pn WHERE {a} IS NOT NULL AND {b} IS NOT NULL"
+       for i, a in enumerate(_MEASURES) for b in _MEASURES[i + 1:]), uses="pn", keys="country, year, x_name, y_name", floats="x y")
+def fig_scatter_pairs(pn):
+    """Points of every pair of measures, from one pass over the rows."""
+    pairs = [F.struct(F.lit(a).alias("x_name"), F.lit(b).alias("y_name"), F.col(a).alias("x"), F.col(b).alias("y")) for i, a in enumerate(_MEASURES) for b in _MEASURES[i + 1:]]
+    return pn.select("country", "year", F.explode(F.array(*pairs)).alias("r")).select("country", "year", "r.*").dropna(subset=["x", "y"])
+
+
 @query("fig_quadrant", "SELECT country, year, CASE WHEN co2 > mx THEN 'high' ELSE 'low' END || '-' || CASE WHEN gdp > my THEN 'high' ELSE 'low' END AS quadrant "
        "FROM pn, (SELECT avg(co2) AS mx, avg(gdp) AS my FROM pn) m", uses="pn", keys="country, year, quadrant")
 def fig_quadrant(pn):
