@@ -318,6 +318,15 @@ def drop_near_copies(docs: DataFrame, *, key: str = "doc_id", text: str = "text"
     return left.drop(tag)
 
 
-@query("op2_minhash_tensored")
+@query("op2_minhash_tensored", r"""
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[p:p + 4], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS p FROM t WHERE len(ws) > 0) x),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+links AS (SELECT a, b FROM (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n_both FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2) p
+ JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * n_both >= 75 * (x.n + y.n - n_both)),
+sides AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT a, b FROM sides UNION SELECT r.a, s.b FROM reach r JOIN sides s ON r.b = s.a),
+root AS (SELECT a, least(a, min(b)) AS root FROM reach GROUP BY a)
+SELECT t.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(root, t.doc_id) AS component_id, coalesce(root, t.doc_id) = t.doc_id AS kept FROM t LEFT JOIN n USING (doc_id) LEFT JOIN root ON a = t.doc_id""")
 def op2_minhash_tensored(spark, sf_dir):
     return mark(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("tag")

@@ -445,6 +445,14 @@ def strip(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFr
     return joined.select(*[f"`{c}`" for c in columns], extra[1], extra[2]).mapInArrow(run, docs.schema)
 
 
-@query("op5_repeated_passages")
+@query("op5_repeated_passages", r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+words AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM t),
+windows AS (SELECT doc_id, p, row_number() OVER (PARTITION BY g ORDER BY doc_id, p) AS k FROM
+ (SELECT doc_id, p, array_to_string(ws[p:p + 19], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS p FROM t WHERE len(ws) >= 20) x) y),
+gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 20)) AS i FROM windows WHERE k > 1)
+SELECT t.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM t
+LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY 1) g ON g.doc_id = t.doc_id
+LEFT JOIN (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY 1) k ON k.doc_id = t.doc_id""")
 def op5_repeated_passages(spark, sf_dir):
     return dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
