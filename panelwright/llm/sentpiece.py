@@ -58,10 +58,12 @@ class Vocabulary:
         if any(MARK in p.lstrip(MARK) for p in self.id):
             raise ValueError("a piece holds a mark inside; marked words can't be encoded one by one")
         self.follows: dict[int, bool] = {}  # left id * size + right id
-        ends: dict[str, set[int]] = {}
-        for p in self.id:
-            ends.setdefault(p[-2:], set()).add(len(p))
-        self.lengths = {e: sorted(n, reverse=True) for e, n in ends.items()}  # piece lengths by the last two characters
+        self.root: dict = {}  # trie of pieces by characters; None leads to a piece's id
+        for p, i in self.id.items():
+            node = self.root
+            for c in p:
+                node = node.setdefault(c, {})
+            node[None] = i
         # a piece that merges never reach (its own encoding is another) can't end a prefix
         self.reached = {p: self.merge(p) == [p] for p in self.id}
 
@@ -107,32 +109,39 @@ def load(path: str) -> Vocabulary:
 def encode_words(words: list[str], v: Vocabulary, *, unigram: bool = False) -> dict[str, tuple[int, ...]]:
     """Token ids of distinct words. Sorted words share the states of their common prefixes."""
     out: dict[str, tuple[int, ...]] = {}
-    known, follows, joins, size, lengths = v.id.get, v.follows.get, v.joins, v.size, v.lengths.get
-    none = ()
-    last, start, piece, score = "", [0], [-1], [0.0]  # piece -1: a character no piece covers, or the word's start
+    follows, joins, size, root, worth = v.follows.get, v.joins, v.size, v.root.get, v.score
+    # piece -1: a character no piece covers, or the word's start; open: starts of pieces that may go on, the earliest first
+    last, start, piece, score, open_ = "", [0], [-1], [0.0], [()]
     for word in sorted(words):
         same = 0
         for a, b in zip(last, word):
             if a != b:
                 break
             same += 1
-        del start[same + 1:], piece[same + 1:], score[same + 1:]
+        del start[same + 1:], piece[same + 1:], score[same + 1:], open_[same + 1:]
         for end in range(same + 1, len(word) + 1):
-            at, i, most = end - 1, known(word[end - 1], -1), 0.0
+            c = word[end - 1]
+            going = [(s, n) for s, m in open_[end - 1] if (n := m.get(c)) is not None]
+            one = root(c)
+            at, i, most = end - 1, -1 if one is None else one.get(None, -1), 0.0
             if unigram:
-                most = score[at] + (v.score[word[at:end]] if i >= 0 else -1e6)
-                for n in lengths(word[end - 2:end], none):
-                    j = known(word[end - n:end], -1) if 1 < n <= end else -1
-                    if j >= 0 and (s := score[end - n] + v.score[word[end - n:end]]) > most:
-                        at, i, most = end - n, j, s
-            elif end > 1:
-                for n in lengths(word[end - 2:end], none):
-                    if n <= end and (j := known(word[end - n:end], -1)) >= 0:
-                        before = piece[end - n]
+                most = score[at] + (worth[word[at:end]] if i >= 0 else -1e6)
+                for s, n in going:
+                    j = n.get(None, -1)
+                    if j >= 0 and (x := score[s] + worth[word[s:end]]) > most:
+                        at, i, most = s, j, x
+            else:
+                for s, n in going:
+                    j = n.get(None, -1)
+                    if j >= 0:
+                        before = piece[s]
                         f = True if before < 0 else follows(before * size + j)
                         if f or (f is None and joins(before, j)):
-                            at, i = end - n, j
+                            at, i = s, j
                             break  # the only piece that merging can end here with
+            if one is not None:
+                going.append((end - 1, one))
+            open_.append(going)
             start.append(at)
             piece.append(i)
             score.append(most)
