@@ -450,6 +450,15 @@ def dedup(docs: DataFrame) -> DataFrame:
         F.when(copy, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("sha", F.lower(F.hex("full")))).alias("kept_sha256"))
 
 
-@query("op12_suffix_array")
+@query("op12_suffix_array", f"""
+WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n FROM documents),
+strings AS (SELECT doc_id, p, hash(substr(h, 2 * p + 1, {2 * LENGTH})) AS g FROM (SELECT doc_id, h, unnest(range(0, n - {LENGTH - 1})) AS p FROM t WHERE n >= {LENGTH}) x),
+again AS (SELECT doc_id, p FROM strings SEMI JOIN (SELECT g FROM strings GROUP BY g HAVING count(*) > 1) m USING (g)),
+spans AS (SELECT doc_id, min(p) AS a, max(p) + {LENGTH} AS b FROM (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS r FROM
+ (SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= {LENGTH} THEN 0 ELSE 1 END AS new FROM again) y) z GROUP BY doc_id, r),
+gaps AS (SELECT doc_id, coalesce(lag(b) OVER w, 0) AS x, a AS y FROM spans WINDOW w AS (PARTITION BY doc_id ORDER BY a) UNION ALL SELECT doc_id, max(b), max(n) FROM spans JOIN t USING (doc_id) GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * x + 1, 2 * (y - x)), '' ORDER BY x) AS h FROM gaps JOIN t USING (doc_id) GROUP BY doc_id),
+lost AS (SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id)
+SELECT t.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept.h, t.h))) AS kept_sha256 FROM t LEFT JOIN lost USING (doc_id) LEFT JOIN kept ON kept.doc_id = t.doc_id""")
 def op12_suffix_array(spark, sf_dir):
     return dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))

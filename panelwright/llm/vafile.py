@@ -213,6 +213,23 @@ def report(vectors: DataFrame, **parameters) -> DataFrame:
     return found.join(F.broadcast(notes), "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")  # k rows
 
 
-@query("op13_vafile_clusters")
+def _sql(k: int = 16, rounds: int = 3, dims: int = 64) -> str:
+    """DuckDB text: every distance in full."""
+    apart = "list_sum([(p[1] - p[2]) * (p[1] - p[2]) for p in list_zip(v, c)])"
+    parts = [f"""kept AS (SELECT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS v FROM embeddings
+ WHERE len(embedding) = {dims} AND list_sum([CASE WHEN x IS NULL OR NOT isfinite(x) THEN 1 ELSE 0 END for x in embedding]) = 0)""",
+             f"c0 AS (SELECT CAST(row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS INT) AS k, v AS c FROM kept ORDER BY sha256('1:' || vec_id) LIMIT {k})"]
+    for r in range(rounds + 1):
+        parts.append(f"a{r} AS MATERIALIZED (SELECT vec_id, any_value(v) AS v, min({apart}) AS distance, arg_min(k, {{'d': {apart}, 'k': k}}) AS k FROM kept, c{r} GROUP BY vec_id)")
+        if r < rounds:
+            parts.append(f"""c{r + 1} AS MATERIALIZED (SELECT c{r}.k, coalesce(m.c, c{r}.c) AS c FROM c{r} LEFT JOIN (SELECT k, list(x ORDER BY i) AS c FROM
+ (SELECT k, i, CAST(floor(CAST(sum(x) AS DOUBLE) / count(*)) AS BIGINT) AS x FROM (SELECT k, unnest(v) AS x, unnest(range(1, {dims + 1})) AS i FROM a{r}) u GROUP BY k, i) g GROUP BY k) m ON m.k = c{r}.k)""")
+    last = f"a{rounds}"
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT vec_id, a.k AS cluster, CAST(distance AS BIGINT) AS distance, CAST(sum(distance) OVER (PARTITION BY a.k) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+ sha256(array_to_string(c, ',')) AS centroid_sha256 FROM {last} a JOIN c{rounds} c ON c.k = a.k"""
+
+
+@query("op13_vafile_clusters", _sql())
 def op13_vafile_clusters(spark, sf_dir):
     return report(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
