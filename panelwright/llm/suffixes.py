@@ -452,7 +452,8 @@ def dedup(docs: DataFrame) -> DataFrame:
 
 @query("op12_suffix_array", f"""
 WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n FROM documents),
-strings AS (SELECT doc_id, p, hash(substr(h, 2 * p + 1, {2 * LENGTH})) AS g FROM (SELECT doc_id, h, unnest(range(0, n - {LENGTH - 1})) AS p FROM t WHERE n >= {LENGTH}) x),
+blocks AS (SELECT doc_id, n, b, substr(h, {2 * LENGTH} * b + 1, {4 * LENGTH}) AS h FROM (SELECT doc_id, n, h, unnest(range(0, n // {LENGTH})) AS b FROM t WHERE n >= {LENGTH}) x),
+strings AS (SELECT doc_id, {LENGTH} * b + q AS p, hash(substr(h, 2 * q + 1, {2 * LENGTH})) AS g FROM (SELECT *, unnest(range(0, least({LENGTH}, n - {LENGTH - 1} - {LENGTH} * b))) AS q FROM blocks) x),
 again AS (SELECT doc_id, p FROM strings SEMI JOIN (SELECT g FROM strings GROUP BY g HAVING count(*) > 1) m USING (g)),
 spans AS (SELECT doc_id, min(p) AS a, max(p) + {LENGTH} AS b FROM (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS r FROM
  (SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= {LENGTH} THEN 0 ELSE 1 END AS new FROM again) y) z GROUP BY doc_id, r),
