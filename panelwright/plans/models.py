@@ -259,10 +259,10 @@ def mi_mcerror(ev):
     return L.monte_carlo_error(_draws(ev), "user_id", "value", "draw", 5)
 
 
-@query("mi_trace", f"SELECT event_id, so_far, draw FROM {_DRAWS} d WHERE draw % 3 = 1", uses="ev", keys="event_id, draw", floats="so_far")
+@query("mi_trace", f"SELECT event_id, so_far, draw FROM {_DRAWS} d", uses="ev", keys="event_id, draw", floats="so_far")
 def mi_trace(ev):
-    """Every third draw of a chain with the mean so far."""
-    return _draws(ev).where("draw % 3 = 1").select("event_id", "so_far", "draw")
+    """Every draw of a chain with the mean so far."""
+    return _draws(ev).select("event_id", "so_far", "draw")
 
 
 @query("mi_density", "SELECT user_id, CAST(floor(value / 20) AS BIGINT) AS bin, count(*) / (20e0 * sum(count(*)) OVER (PARTITION BY user_id)) AS density FROM ev WHERE value IS NOT NULL GROUP BY 1, 2", uses="ev", keys="user_id, bin", floats="density")

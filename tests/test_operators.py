@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from panelwright.operators import columns, joins, order, reshape, values, windows
+from panelwright.plans import QUERIES
 from panelwright.sources.delimited import dropped_lines, read_delimited
 
 
@@ -69,3 +70,12 @@ def test_patch_to_null(spark):
     df = spark.createDataFrame([(1, 2.0), (2, 3.0)], "k int, v double")
     patches = spark.createDataFrame([(1, None)], "k int, v double")
     assert rows(values.patch(df, "v", patches, ["k"])) == [(1, None), (2, 3.0)]
+
+
+def test_trace_keeps_every_draw(spark, tmp_path):
+    """mi_trace returns each draw of each chain."""
+    draws = [(e, f"2024-01-01 00:00:{e:02d}", e % 2, float(e)) for e in range(10)]
+    spark.createDataFrame(draws, "event_id long, ts string, user_id long, value double").withColumns(
+        {"ts": F.col("ts").cast("timestamp_ntz"), "event_type": F.lit("x")}).write.parquet(str(tmp_path / "events.parquet"))
+    got = rows(QUERIES["mi_trace"](spark, str(tmp_path)))
+    assert got == [(e, sum(range(e % 2, e + 1, 2)) / (e // 2 + 1), e // 2 + 1) for e in range(10)]
