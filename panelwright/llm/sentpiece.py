@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import heapq
 import zlib
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import chain
 
 import numpy as np
@@ -58,14 +58,19 @@ class Vocabulary:
         if any(MARK in p.lstrip(MARK) for p in self.id):
             raise ValueError("a piece holds a mark inside; marked words can't be encoded one by one")
         self.follows: dict[int, bool] = {}  # left id * size + right id
-        self.root: dict = {}  # trie of pieces by characters; None leads to a piece's id
+        # a piece that merges never reach (its own encoding is another) can't end a prefix
+        self.reached = {p: self.merge(p) == [p] for p in self.id}
+
+    @cached_property
+    def root(self) -> dict:
+        """Trie of the pieces by characters; None leads to a piece's id."""
+        root: dict = {}
         for p, i in self.id.items():
-            node = self.root
+            node = root
             for c in p:
                 node = node.setdefault(c, {})
             node[None] = i
-        # a piece that merges never reach (its own encoding is another) can't end a prefix
-        self.reached = {p: self.merge(p) == [p] for p in self.id}
+        return root
 
     def merge(self, word: str) -> list[str]:
         """Pieces of a word by merging: the pair of best score first, the leftmost of equal ones."""

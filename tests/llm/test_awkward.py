@@ -3,7 +3,7 @@
 import numpy as np
 import tokenizers
 
-from panelwright.llm import ann, neardup, packing
+from panelwright.llm import ann, neardup, packing, sentpiece
 from panelwright.llm.common import vocabulary
 
 
@@ -15,6 +15,17 @@ def test_rows_of_one_id_are_judged_apart(spark):
     assert sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=repr) == sorted([(3, a), (7, b), (None, a), (None, a), (9, None)], key=repr)
 
 
+def test_vocabulary_of_own_pieces():
+    """Pieces that no model file gave are encoded as the merges have it."""
+    v = sentpiece.Vocabulary.__new__(sentpiece.Vocabulary)
+    v.text = ["a", "b", "c", "ab", "bc", "abc", "aba"]
+    v.id, v.size, v.bytes, v.follows = {p: i for i, p in enumerate(v.text)}, len(v.text), {}, {}
+    v.score = {p: -float(i) for i, p in enumerate(v.text)}
+    some = ["a", "ab", "abc", "aba", "abab", "cabcab", "bcbc", "abcabc", "bababc"]
+    got = sentpiece.encode_words(some, v)
+    assert {w: [v.text[i] for i in ids] for w, ids in got.items()} == {w: v.merge(w) for w in some}
+
+
 def test_long_runs_of_blanks(spark):
     texts = [c * n for c in " \n\t" for n in (60_000, 1_500_000)] + ["x" + " " * 70_000 + "y z", "a" * 200_000]
     encoder = tokenizers.Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
