@@ -289,11 +289,16 @@ def classes(docs: DataFrame) -> DataFrame:
         "doc_id", "tag", "n_shingles", F.coalesce("root", "rep").alias("component_id"))
 
 
-def mark(docs: DataFrame) -> DataFrame:
-    """:func:`classes` with ``kept``: true for the one document that stays of each component."""
+def _judged(docs: DataFrame) -> DataFrame:
+    """:func:`classes` with ``kept``."""
     return classes(docs).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def mark(docs: DataFrame) -> DataFrame:
+    """``(doc_id, n_shingles, component_id, kept)`` of every row; ``kept`` is true for the one document that stays of each component."""
+    return _judged(docs).drop("tag")
+
+
 def text_tag(text: Column) -> Column:
     """64-bit hash that tells texts of one id apart."""
     return F.xxhash64(F.coalesce(text, F.lit("")))
@@ -302,7 +307,7 @@ def text_tag(text: Column) -> Column:
 def drop_near_copies(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows of ``docs`` whose document stays. A document is an id with a text: rows of one id and different texts
     are judged apart, and of rows with the same id and text one stays. Rows without an id stay."""
-    marked = materialize(mark(docs.select(key, text)), "marked")
+    marked = materialize(_judged(docs.select(key, text)), "marked")
     tag = free_name(docs, "tag")
     tagged = docs.withColumn(tag, text_tag(F.col(f"`{text}`")))
 
@@ -329,4 +334,4 @@ reach AS (SELECT a, b FROM sides UNION SELECT r.a, s.b FROM reach r JOIN sides s
 root AS (SELECT a, least(a, min(b)) AS root FROM reach GROUP BY a)
 SELECT t.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(root, t.doc_id) AS component_id, coalesce(root, t.doc_id) = t.doc_id AS kept FROM t LEFT JOIN n USING (doc_id) LEFT JOIN root ON a = t.doc_id""")
 def op2_minhash_tensored(spark, sf_dir):
-    return mark(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("tag")
+    return mark(table(spark, sf_dir, "documents").select("doc_id", "text"))

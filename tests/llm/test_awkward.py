@@ -15,6 +15,14 @@ def test_rows_of_one_id_are_judged_apart(spark):
     assert sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=repr) == sorted([(3, a), (7, b), (None, a), (None, a), (9, None)], key=repr)
 
 
+def test_marked_rows_have_four_columns(spark):
+    """The hash that tells texts of one id apart stays inside."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    got = neardup.mark(spark.createDataFrame([(3, a), (7, a), (7, b), (None, c)], "doc_id bigint, text string"))
+    assert got.columns == ["doc_id", "n_shingles", "component_id", "kept"]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([(3, 36, 3, True), (7, 36, 3, False), (7, 36, 7, True), (None, 36, None, True)], key=repr)
+
+
 def test_vocabulary_of_own_pieces():
     """Pieces that no model file gave are encoded as the merges have it."""
     v = sentpiece.Vocabulary.__new__(sentpiece.Vocabulary)
