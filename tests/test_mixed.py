@@ -77,6 +77,30 @@ def test_fit_is_the_optimum(spark, name):
         assert dense(rows, fit.terms, levels, other)[0] >= dev - 1e-7
 
 
+def test_nested_query_has_slopes_on_both_levels(spark):
+    from types import SimpleNamespace
+
+    from panelwright.plans.mixed import mm_3level
+
+    steep = dict(zip((f"r{r}" for r in range(8)), np.random.default_rng(8).normal(0, 2, 8).tolist()))
+    rows = [(*r[:4], r[4] + steep[r[0]] * r[2]) for r in invented(11, regions=8, per=5, rows=(4, 8))]
+    found = {(r["part"], r["name"]): r["value"] for r in mm_3level(spark.createDataFrame(rows, SHAPE)).collect()}
+    levels = M.nested("region", "country", ("(Intercept)", "time"))
+    names = "(Intercept):(Intercept)", "time:(Intercept)", "time:time"
+    got = [[found["covariance", f"{'/'.join(v.groups)}:{n}"] for n in names] for v in levels]
+    fit = SimpleNamespace(sigma2=found["covariance", "residual::"], g=[np.array([[a, b], [b, c]]) for a, b, c in got])
+    dev, _, _, _, beta = dense(rows, ["(Intercept)", "time"], levels, fit)
+    assert found["fit", "converged"] == 1 and abs(dev - found["fit", "deviance"]) < 1e-6
+    assert np.allclose(beta, [found["fixed", "(Intercept)"], found["fixed", "time"]], atol=1e-6)
+    assert found["fit", "aic"] == pytest.approx(dev + 2 * 9)  # two coefficients, three covariances on each level, the residual
+    rng = np.random.default_rng(2)
+    roots = [np.linalg.cholesky(g) for g in fit.g]
+    for _ in range(40):  # no parameters near by are better
+        moved = [r * np.exp(rng.normal(0, 0.05, r.shape)) for r in roots]
+        other = SimpleNamespace(sigma2=fit.sigma2 * math.exp(rng.normal(0, 0.05)), g=[m @ m.T for m in moved])
+        assert dense(rows, ["(Intercept)", "time"], levels, other)[0] >= dev - 1e-7
+
+
 def test_effects_influence_and_robust_errors(spark):
     rows = invented(5)
     df = spark.createDataFrame(rows, SHAPE)
