@@ -247,6 +247,49 @@ def test_quantile_pairs_and_smooth(spark):
     assert abs(small[0]["theoretical"] - D.normal_quantile(0.625 / 3.25)) < 1e-9
 
 
+def test_model_check_is_whole(spark):
+    rows = [r for r in invented(9) for _ in range(2)]  # rows that come twice, and one without an outcome
+    df = spark.createDataFrame([*rows, ("r0", "r0c0", 1.0, 0.5, None)], SHAPE)
+    model = M.Model(df, "y", ["time", "x"], [SLOPE])
+    fits = model.fit()
+    n, groups, sigma = len(rows), len({r[1] for r in rows}), math.sqrt(fits[""].sigma2)
+    runs = []
+    for parts in (1, 7):
+        panels = {}
+        for r in G.model_check(df.repartition(parts), model, fits).collect():
+            panels.setdefault(r["panel"], []).append((r["label"], r["x"], r["y"], r["line"]))
+        runs.append(panels)
+    for panel, (a, b) in {p: [sorted(run[p], key=str) for run in runs] for p in runs[0]}.items():
+        assert [v[0] for v in a] == [v[0] for v in b]
+        assert all(np.allclose([v[i] for v in a if v[i] is not None], [v[i] for v in b if v[i] is not None]) for i in (1, 2, 3)), panel
+    panels = runs[0]
+    assert set(panels) == {"fitted", "fixed", "linearity", "spread", "collinearity", "tolerance", "residuals", "effects", "predictive"}
+    predicted = M.predict(df, model, fits).where("y IS NOT NULL").collect()
+    for panel, x, y in (("fitted", "fitted", "residual"), ("fixed", "fixed", "residual_fixed")):
+        assert np.allclose(sorted((v[1], v[2]) for v in panels[panel]), sorted((r[x], r[y]) for r in predicted)) and len(panels[panel]) == n
+    residuals = sorted(v[1:] for v in panels["residuals"])
+    assert np.allclose([v[0] for v in residuals], D.normal_quantile((np.arange(n) + 0.5) / n)) and np.allclose([v[1] for v in residuals], sorted(r["residual"] for r in predicted))
+    q1, q3 = np.quantile([v[1] for v in residuals], [0.25, 0.75])
+    assert np.allclose([v[2] for v in residuals], [(q1 + q3) / 2 + (q3 - q1) / 2 / 0.6744897501960817 * v[0] for v in residuals])
+    effects = model.effects(fits).collect()
+    for i, term in enumerate(SLOPE.terms):
+        mine = sorted(v[1:] for v in panels["effects"] if v[0] == term)
+        assert len(mine) == groups and np.allclose([v[1] for v in mine], sorted(r[f"effect_{i}"] for r in effects))
+    inflated = {v[0]: v[2] for v in panels["collinearity"]}
+    assert all(abs(v[2] * inflated[v[0]] - 1) < 1e-9 for v in panels["tolerance"]) and set(inflated) == {"time", "x"}
+    y, fitted = np.array([r[4] for r in rows]), np.array([r["fitted"] for r in predicted])
+    width = (y.max() - y.min()) / 30
+    bins = {}
+    for label, x, count, _ in panels["predictive"]:
+        bins.setdefault(label, {})[round(x / width - 0.5)] = count
+    assert bins["observed"] == {k: int((np.floor(y / width) == k).sum()) for k in set(np.floor(y / width))}
+    assert set(bins) == {"observed", *(f"draw {k}" for k in range(1, 51))} and all(sum(b.values()) == n for b in bins.values())
+    assert len({tuple(sorted(b.items())) for b in bins.values()}) == 51
+    drawn = np.concatenate([np.repeat([(k + 0.5) * width for k in b], [int(c) for c in b.values()]) for label, b in bins.items() if label != "observed"])
+    assert abs(drawn.mean() - fitted.mean()) < 4 * sigma / math.sqrt(50 * n) + width / 10
+    assert abs(drawn.var() / (fitted.var() + sigma ** 2 + width ** 2 / 12) - 1) < 0.05
+
+
 @pytest.mark.parametrize("p,r", [(5, 80), (10, 80), (1, 80), (3, 0)])
 def test_many_plausible_values_and_replicates(spark, p, r):
     rng = np.random.default_rng(4)
